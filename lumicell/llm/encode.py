@@ -22,7 +22,7 @@ CACHE_CHUNKS, CACHE_CHARS = 400_000, 40
 _CHUNK = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 _WORD = re.compile(r"[^ \t\n\r]+")
 #: White space of Unicode beyond space, tab and line ends, and the separators that some engines count as such.
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿]")
+_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 class ChunkEncoder:
