@@ -25,6 +25,10 @@ _IS_WS = np.zeros(256, dtype=bool)
 _IS_WS[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE[_IS_WS] = 0
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+#: For words without punctuation: ASCII other than letters and digits separates too.
+_BYTE_ALNUM, _IS_SEP = _BYTE.copy(), _IS_WS.copy()
+_IS_SEP[[c for c in range(128) if not chr(c).isalnum()]] = True
+_BYTE_ALNUM[_IS_SEP] = 0
 _STEP = [_U64(x) for x in (_rng.integers(1, 2**63, 16, dtype=np.uint64) | _U64(1))]
 
 
@@ -73,8 +77,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, in order, and the word offsets of each text (len + 1)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, punctuation: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, in order, and the word offsets of each text (len + 1).
+
+    Without `punctuation`, ASCII punctuation separates words as white space does.
+    """
+    is_sep, value = (_IS_WS, _BYTE) if punctuation else (_IS_SEP, _BYTE_ALNUM)
     n, size = len(offsets) - 1, len(data)
     hashes, at = [], []
     a = 0
@@ -82,7 +90,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         b = min(size, a + SEGMENT)
         if b < size:  # end at white space or a text's start, else a word would be cut
             while True:
-                ws = np.flatnonzero(_IS_WS[data[a:b]])
+                ws = np.flatnonzero(is_sep[data[a:b]])
                 k = int(np.searchsorted(offsets, b, "right")) - 1
                 cut = max(a + int(ws[-1]) + 1 if len(ws) else a, int(offsets[k]))
                 if cut > a or b == size:
@@ -90,7 +98,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
                     break
                 b = min(size, b + SEGMENT)
         x = data[a:b]
-        word = ~_IS_WS[x]
+        word = ~is_sep[x]
         start = word.copy()
         start[1:] &= ~word[:-1]
         lo, hi = np.searchsorted(offsets[:-1], (a, b))
@@ -100,7 +108,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         starts = np.flatnonzero(start)
         if len(starts):
             up, down = _POWERS.get(len(x))
-            hashes.append(mix(np.add.reduceat(_BYTE[x] * up, starts) * down[starts]))
+            hashes.append(mix(np.add.reduceat(value[x] * up, starts) * down[starts]))
             at.append(starts + a)
         a = b
     if not hashes:
