@@ -7,16 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import language_id, packing, token_store
+from . import decontaminate, html_extract, jaccard_join, language_id, packing, token_store
 from .common import crc_mod, table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
     return language_id.predict(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -30,7 +38,14 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_files(*token_store.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), keep_space=False, end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op5_exact_dedup, op6_packing, op8_token_ids)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_html_extraction, op2_language_id, op4_decontamination, op5_exact_dedup, op6_packing, op8_token_ids, op10_ngram_jaccard_join)
+}
 
 SQL = {
     "op5_exact_dedup": """
@@ -39,4 +54,20 @@ SQL = {
         )
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM h WINDOW g AS (PARTITION BY text_sha256)""",
+    "op10_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ), s AS (
+          SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh FROM w
+        ), e AS (SELECT doc_id, unnest(sh) AS g FROM s
+        ), i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), l AS (
+          SELECT u, v FROM i JOIN s x ON x.doc_id = u JOIN s y ON y.doc_id = v WHERE 100 * c >= 75 * (len(x.sh) + len(y.sh) - c)
+        ), b AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l
+        ), r(doc_id, c) AS (
+          SELECT doc_id, doc_id FROM s UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.doc_id
+        )
+        SELECT s.doc_id, len(any_value(sh)) AS n_shingles, min(c) AS component_id FROM s JOIN r USING (doc_id) GROUP BY s.doc_id""",
 }
