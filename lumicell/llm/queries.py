@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import decontaminate, html_extract, jaccard_join, language_id, packing, token_store
+from . import decontaminate, html_extract, jaccard_join, language_id, packing, quality, token_store, toxicity
 from .common import crc_mod, table
 
 
@@ -21,6 +21,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = docs.where(crc_mod(F.col("doc_id"), 5) != 0).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    scored = quality.predict(docs, quality.fit(known))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,13 +45,20 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_files(*token_store.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), keep_space=False, end_id=2))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = docs.where(crc_mod(F.col("doc_id"), 3) != 1).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    scored = toxicity.predict(docs, toxicity.fit(known))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_language_id, op4_decontamination, op5_exact_dedup, op6_packing, op8_token_ids, op10_ngram_jaccard_join)
+    for f in (op1_html_extraction, op2_language_id, op3_quality_classifier, op4_decontamination, op5_exact_dedup, op6_packing, op8_token_ids, op9_toxicity, op10_ngram_jaccard_join)
 }
 
 SQL = {

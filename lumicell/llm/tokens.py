@@ -152,3 +152,57 @@ def ngram_hashes(words: np.ndarray, offsets: np.ndarray, k: int, short: bool = T
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+#: Kinds of bytes: 0 white space, 1 letters, digits and non-ASCII, 2 other ASCII.
+_KIND = np.ones(256, np.uint8)
+_KIND[_IS_SEP] = 2
+_KIND[_IS_WS] = 0
+_UPPER = np.zeros(256, np.uint8)
+_UPPER[ord("A") : ord("Z") + 1] = 1
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one kind of byte: hash, kind, upper-case letters, offsets by text, and
+    for each of `prefixes` the hash of so many first bytes (0 where a run is shorter)."""
+    n, size, a = len(offsets) - 1, len(data), 0
+    parts: list[tuple] = []
+    while a < size:
+        b = min(size, a + SEGMENT)
+        while b < size:
+            ws = np.flatnonzero(_IS_WS[data[a:b]])
+            k = int(np.searchsorted(offsets, b, "right")) - 1
+            cut = max(a + int(ws[-1]) + 1 if len(ws) else a, int(offsets[k]))
+            if cut > a:
+                b = cut
+                break
+            b = min(size, b + SEGMENT)
+        x = data[a:b]
+        kind = _KIND[x]
+        start = kind > 0
+        start[1:] &= kind[1:] != kind[:-1]
+        lo, hi = np.searchsorted(offsets[:-1], (a, b))
+        heads = offsets[lo:hi] - a
+        heads = heads[heads < len(x)]
+        start[heads] = kind[heads] > 0
+        starts = np.flatnonzero(start)
+        if len(starts):
+            up, down = _POWERS.get(len(x))
+            value = _BYTE[x] * up
+            fronts = np.zeros((len(starts), len(prefixes)), np.uint64)
+            front, ok = np.zeros(len(starts), np.uint64), np.ones(len(starts), bool)
+            nexts = np.r_[starts[1:], len(x)]
+            for j in range(max(prefixes, default=0)):
+                at = np.minimum(starts + j, len(x) - 1)
+                ok &= (starts + j < nexts) & (kind[at] > 0)
+                front += _BYTE[x[at]] * _STEP[j]
+                for c, p in enumerate(prefixes):
+                    if p == j + 1:
+                        fronts[:, c] = np.where(ok, mix(front + _U64(p)), _U64(0))
+            parts.append((mix(np.add.reduceat(value, starts) * down[starts]), kind[starts], np.add.reduceat(_UPPER[x], starts, dtype=np.int32), fronts, starts + a))
+        a = b
+    if not parts:
+        z = np.zeros(0, np.uint64)
+        return z, z.astype(np.uint8), z.astype(np.int32), np.zeros(n + 1, np.int64), np.zeros((0, len(prefixes)), np.uint64)
+    h, kind, upper, fronts, at = (np.concatenate(c) for c in zip(*parts))
+    return h, kind, upper, np.searchsorted(at, offsets).astype(np.int64), fronts
