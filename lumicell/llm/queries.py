@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import decontaminate, html_extract, jaccard_join, language_id, packing, quality, token_store, toxicity
+from . import decontaminate, html_extract, jaccard_join, language_id, packing, pii, quality, token_store, toxicity
 from .common import crc_mod, table
 
 
@@ -40,6 +40,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    joined = {c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))) for c in ("base", "spans")}
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined["base"], 256).alias("base_sha256"), joined["spans"].alias("spans"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_store.read_token_files(*token_store.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), keep_space=False, end_id=2))
@@ -58,7 +66,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_language_id, op3_quality_classifier, op4_decontamination, op5_exact_dedup, op6_packing, op8_token_ids, op9_toxicity, op10_ngram_jaccard_join)
+    for f in (op1_html_extraction, op2_language_id, op3_quality_classifier, op4_decontamination, op5_exact_dedup, op6_packing, op7_pii, op8_token_ids, op9_toxicity, op10_ngram_jaccard_join)
 }
 
 SQL = {
