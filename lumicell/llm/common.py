@@ -79,3 +79,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = SLICE_ROW
 def texts(column: pa.Array) -> list[str]:
     """Python strings of a column; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+#: Keys up to which a list of rows to drop is broadcast: about 64 MB.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of docs whose key columns (those of `dropped`) are not in `dropped`.
+
+    The keys are broadcast only if they are few; else both sides shuffle.
+    """
+    dropped = saved(dropped.distinct())
+    small = dropped.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(dropped) if small else dropped.hint("merge"), dropped.columns, "left_anti")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import saved, slices
+from .common import slices, without
 
 SEED_WORDS = 3
 #: A seed is rare up to RARE_FACTOR x the median document count of its item's seeds, or RARE_DOCS.
@@ -201,6 +201,4 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that match no item, with all their columns."""
-    hits = saved(contaminated(docs, items, threshold).select("doc_id").distinct())
-    small = hits.count() <= 4_000_000
-    return docs.join(F.broadcast(hits) if small else hits.hint("merge"), "doc_id", "left_anti")
+    return without(docs, contaminated(docs, items, threshold).select("doc_id"))

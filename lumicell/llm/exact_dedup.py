@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved
+from .common import ascii_lower, saved, without
 
 #: Rows of the filter up to which it is broadcast: 64 MB.
 FILTER_WORDS = 4_000_000
@@ -50,6 +50,11 @@ def _bits(fp):
     return mask
 
 
+def text_hash(text):
+    """SHA-256 of the text, A-Z lower-cased; null counts as empty."""
+    return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256)
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", filter_words: int = FILTER_WORDS) -> DataFrame:
     """One row per input row: key, keep_id, group_size, kept, text_sha256.
 
@@ -59,7 +64,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", filter
     all have kept true if that key is the largest.  An empty table gives an
     empty result.  Other columns of the input are ignored.
     """
-    hashed = saved(docs.select(F.col(key).alias("doc_id"), F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256).alias("text_sha256")))
+    hashed = saved(docs.select(F.col(key).alias("doc_id"), text_hash(F.col(text)).alias("text_sha256")))
     n = hashed.count()
     words = 1 << max(10, (max(n, 1) - 1).bit_length())
     fp = _fingerprint(F.col("text_sha256"), words)
@@ -94,3 +99,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", filter
         (F.coalesce("keep_id", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns; one of rows that share doc_id and text."""
+    found = saved(exact_dedup(docs))
+    hashed = docs.withColumn("_text_sha256", text_hash(F.col("text")))
+    out = without(hashed, found.where("not kept").select("doc_id", F.col("text_sha256").alias("_text_sha256")))
+    again = found.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    if not again.isEmpty():  # whole rows repeat
+        out = out.dropDuplicates(["doc_id", "_text_sha256"])
+    return out.drop("_text_sha256")

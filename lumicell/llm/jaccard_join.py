@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import saved, slices
+from .common import saved, slices, without
 
 SHINGLE = 5
 #: Hashed frequency counters: 2 MB at the driver and in the broadcast.
@@ -310,3 +310,9 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
     cold = tried.where("component_id is null").drop("component_id").join(roots.where(~hot).drop("size"), ["a", "b", "n"], "left")
     out = tried.where("component_id is not null").unionByName(cold)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+    """The rows of docs with the smallest doc_id of their component, with all their columns."""
+    found = jaccard_components(docs, num, den)
+    return without(docs, found.where("component_id <> doc_id").select("doc_id"))

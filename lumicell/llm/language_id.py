@@ -137,3 +137,19 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(p, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+
+
+#: Least probability of the language of a text that stays.
+LEAST_SCORE = 0.5
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs whose language is decided, with probability `least` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 64):
+            lang, p = shared.value.score(texts(b.column("text")))
+            yield b.filter(pa.array([x != UNDECIDED and s >= least for x, s in zip(lang, p)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

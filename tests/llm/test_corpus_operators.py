@@ -1,0 +1,434 @@
+"""The ten corpus operators against plain versions, and their edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lumicell.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, pii, quality, token_store, tokens, toxicity
+from lumicell.llm.encode import ChunkEncoder
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, score string, n string"
+
+
+def documents(spark, rows):
+    """Rows of (doc_id, text, lang), with further columns whose names clash with results."""
+    return spark.createDataFrame([(i, t, l, None, None, "x", None, "y") for i, t, l in rows], DOCS)
+
+
+def words(n, seed=0, vocabulary=400):
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+EDGES = [(1, None, None), (2, "", "en"), (3, "  \t\n ", "en"), (4, "one two", "en"), (4, "one two", "en"), (5, "ONE two", None), (None, "Ärger é 中文", "de"), (7, "123 !!", "en")]
+
+
+# hashing
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aAbB \t\né中.,", max_size=40)), max_size=8))
+def test_words_and_shingles_match_python(texts):
+    data, off = tokens.utf8(pa.array(texts, pa.string()))
+    h, o = tokens.word_hashes(data, off)
+    plain = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) for t in texts]
+    assert np.diff(o).tolist() == [len(p) for p in plain]
+    flat = [w for p in plain for w in p]
+    assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
+    g, go = tokens.ngram_hashes(h, o, 3)
+    grams = [[tuple(p[k : k + 3]) for k in range(max(1, len(p) - 2))] if p else [] for p in plain]
+    assert np.diff(go).tolist() == [len(x) for x in grams]
+    flat = [x for p in grams for x in p]
+    assert len(set(zip(flat, g.tolist()))) == len(set(flat)) == len(set(g.tolist()))
+
+
+def test_words_longer_than_a_segment():
+    text = ["a" * (tokens.SEGMENT * 2 + 5) + " b", "c", " " * tokens.SEGMENT + "d e"]
+    h, o = tokens.word_hashes(*tokens.utf8(pa.array(text)))
+    assert np.diff(o).tolist() == [2, 1, 2]
+
+
+# exact deduplication
+
+
+@pytest.mark.parametrize("filter_words", [0, 1000])
+def test_exact_dedup_matches_python(spark, filter_words):
+    rows = EDGES + [(100 + k, "Copy TEXT", "en") for k in range(600)] + [(1000 + k, f"own {k % 90}", "en") for k in range(120)]
+    out = exact_dedup.exact_dedup(documents(spark, rows), filter_words=filter_words).toPandas()
+    digest = lambda t: hashlib.sha256((t or "").translate(LOWER).encode()).hexdigest()
+    groups = {}
+    for i, t, _ in rows:
+        groups.setdefault(digest(t), []).append(i)
+    assert len(out) == len(rows)
+    for x in out.itertuples():
+        group = groups[x.text_sha256]
+        known = [i for i in group if i is not None]
+        assert x.group_size == len(group)
+        if known:
+            assert x.keep_id == max(known) and x.kept == (x.doc_id == max(known))
+    assert exact_dedup.exact_dedup(documents(spark, [])).count() == 0
+
+
+def test_drop_copies_keeps_one_row_of_each(spark):
+    out = exact_dedup.drop_copies(documents(spark, EDGES + EDGES))
+    assert out.columns == documents(spark, []).columns
+    assert sorted(r.text.lower() if r.text else "" for r in out.collect()) == sorted({(t or "").lower() for _, t, _ in EDGES})
+
+
+# Jaccard join
+
+
+def brute_components(rows, num=75, den=100):
+    sets = {}
+    for i, t, _ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+    for _ in sets:  # to a fixpoint
+        before = dict(root)
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if both and den * both >= num * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    return {i: (len(sets[i]), root[i]) for i in sets}
+
+
+def test_jaccard_components_match_brute_force(spark):
+    rng = random.Random(3)
+    rows, at = [(1, None, None), (2, "", None), (3, "a b", None), (4, "A  b", None), (6, "a b c d e", None)], 10
+    for g in range(12):  # drifting copies: chains whose ends don't link
+        w = words(rng.choice([12, 60, 200]), g)
+        for _ in range(8):
+            rows.append((at, " ".join(w), None))
+            at += 1
+            w = list(w)
+            for _ in range(max(1, len(w) // 60)):
+                w[rng.randrange(len(w))] = f"x{at}"
+    shared = " ".join(words(60, 99))
+    rows += [(at + k, shared + " " + " ".join(words(18, 1000 + k)), None) for k in range(30)]
+    rows += [(at + 100 + k, rows[10][1], None) for k in range(20)]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_components_edges(spark):
+    got = jaccard_join.jaccard_components(documents(spark, EDGES)).collect()
+    assert len(got) == len(EDGES)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id} == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (7, 1, 7)}
+    assert jaccard_join.jaccard_components(documents(spark, [])).count() == 0
+
+
+def test_tree_search_loses_no_pair():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**63, 120, dtype=np.uint64)) for _ in range(40)]
+    sets += [np.unique(np.concatenate([s[: len(s) - k % 20], rng.integers(0, 2**63, k % 20, dtype=np.uint64)])) for k, s in enumerate(sets)]
+    v = np.array([jaccard_join.fold(jaccard_join.count_vector(s), 16) for s in sets])
+    n = np.array([len(s) for s in sets])
+    tree = jaccard_join.CountRTree(v, n, 75, 100)
+    for i, s in enumerate(sets):
+        found = set(tree.search(v[i], int(n[i])).tolist())
+        exact = {j for j, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 75 * len(np.union1d(s, t))}
+        assert exact <= found
+
+
+def test_components_of_a_path_and_a_star(spark):
+    links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(300, 300)]
+    got = {r.node: r.root for r in jaccard_join.components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    assert got == {**{k: 100 for k in range(100, 161)}, 7: 7, **{k: 7 for k in range(200, 260)}}
+
+
+# language
+
+
+def test_language_model_on_held_out_rows(spark):
+    rng = random.Random(5)
+    alphabets = {"aa": "abcde ", "bb": "bcdxyz ", "ü": "üöäde "}
+    rows = [(k, "".join(rng.choice(a) for _ in range(80)), l) for k, (l, a) in enumerate(list(alphabets.items()) * 60)]
+    model = language_id.fit(documents(spark, rows[:120]))
+    got = {r.doc_id: r for r in language_id.predict(documents(spark, rows[120:] + [(900, None, None), (901, "12 ?!", "aa"), (902, "", None)]), model).collect()}
+    assert sum(got[i].lang_pred == l for i, _, l in rows[120:]) >= 0.97 * 60
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3
+    kept = language_id.keep_identified(documents(spark, rows[120:] + [(900, None, None), (901, "12 ?!", "aa")]), model)
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, _ in rows[120:]}
+    empty = language_id.fit(documents(spark, []))
+    assert [r.lang_pred for r in language_id.predict(documents(spark, EDGES[3:4]), empty).collect()] == ["und"]
+
+
+# quality and toxicity
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_classifiers_separate_and_handle_edges(spark, module):
+    rows = []
+    for k in range(240):
+        w = words(40, k, 150)
+        bad = k % 4 == 0
+        if bad:
+            w = [x + "&&&" for x in w] if module is quality else [*w[:20], "vileword", *w[20:]]
+        rows.append((k, " ".join(w), int(not bad) if module is quality else int(bad)))
+    frame = lambda r: spark.createDataFrame(r, "doc_id bigint, text string, label int")
+    model = module.fit(frame(rows[:160] + [(1000, None, 1), (1001, "x", None)]))
+    got = {r.doc_id: r.score for r in module.predict(documents(spark, [(i, t, None) for i, t, _ in rows[160:]] + EDGES), model).collect()}
+    assert all(0 <= s <= 1 for s in got.values())
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in rows[160:]]) > 0.95
+    assert module.predict(documents(spark, []), module.fit(frame([]))).count() == 0
+
+
+def test_swapped_identity_terms_keep_their_score():
+    rng = np.random.default_rng(2)
+    rows = [np.array([0, 2]) if k % 3 else np.array([1]) for k in range(90)]  # 2: a term that goes along with the label
+    y = np.array([1.0 if k % 3 else 0.0 for k in range(90)])
+    rng.shuffle(rows[:0])
+    free, _ = toxicity._fit_weights(rows, y, [], 4)
+    held, _ = toxicity._fit_weights(rows, y, [(np.array([2]), np.array([3]))] * 20, 4)
+    assert abs(held[2] - held[3]) < 0.3 * abs(free[2] - free[3])
+    assert toxicity.swaps("The Muslim family")[0].split()[1] != "Muslim" and toxicity.swaps("none here") == []
+
+
+# decontamination
+
+
+def plain_alignment(a, b):
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
+    return h.max()
+
+
+def test_alignment_matches_plain_version():
+    rng = np.random.default_rng(4)
+    a = [rng.integers(0, 5, n).astype(np.uint64) + np.uint64(9) for n in (1, 7, 20, 33)]
+    b = [rng.integers(0, 5, n).astype(np.uint64) + np.uint64(9) for n in (4, 1, 50, 40)]
+    assert decontaminate.smith_waterman(a, b).tolist() == [plain_alignment(x, y) for x, y in zip(a, b)]
+
+
+def test_decontamination_finds_edited_copies_only(spark):
+    items = [(k, " ".join(words(30, 500 + k, 3000))) for k in range(6)]
+    rows = [(k, " ".join(words(300, k, 3000)), "en") for k in range(40)]
+    for k in range(6):
+        w = items[k][1].upper().split()
+        w[7] = w[19] = "edited"
+        rows.append((100 + k, rows[k][1] + " " + ", ".join(w) + " " + rows[k + 6][1], "en"))
+    rows += [(200 + k, items[0][1] + f" tail {k}", "en") for k in range(60)]  # a leak into most documents
+    schema = "item_id bigint, text string"
+    for block in (16 << 20, 300):
+        got = decontaminate.contaminated(documents(spark, rows + EDGES), spark.createDataFrame([*items, (90, None), (91, "")], schema), item_bytes=block).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(100 + k, k) for k in range(6)} | {(200 + k, 0) for k in range(60)}
+    clean = decontaminate.decontaminate(documents(spark, rows + EDGES), spark.createDataFrame(items, schema))
+    assert clean.count() == 40 + len(EDGES) and clean.columns == documents(spark, []).columns
+    assert decontaminate.contaminated(documents(spark, rows), spark.createDataFrame([], schema)).count() == 0
+
+
+# packing and token files
+
+
+TOKENIZERS = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
+
+
+@pytest.mark.parametrize("name,keep_space", TOKENIZERS)
+def test_chunked_encoding_is_the_tokenizers(name, keep_space):
+    enc = ChunkEncoder(public_tokenizers.path(name), keep_space)
+    odd = ["", " ", "a  b", "\n\n a\tb ", "it's d'accord", "<|endoftext|> x", "İ ΑΣ Σ", "é ́x", "a   b", "x​z", "\x0b\x1cq", "中文 テスト 1234.5", "a" * 300 + " b"]
+    texts = odd + [" ".join(words(50, k)) for k in range(5)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == want and enc.encode(texts) == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
+def test_id_code_round_trip(values):
+    v = np.array(values, np.uint32)
+    assert token_store.unpack_ids(token_store.pack_ids(v), len(v)).tolist() == values
+
+
+def test_token_files_round_trip(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = EDGES + [(50 - k, " ".join(words(30, k)), None) for k in range(30)] + [(99, "long " * 70_000, None)]
+    out = token_store.read_token_files(*token_store.write_token_files(documents(spark, rows).repartition(3), path, False, 2)).collect()
+    enc = ChunkEncoder(path, False)
+    want = {}
+    for (i, _, _), e in zip(rows, enc.tokenizer.encode_batch([t or "" for _, t, _ in rows], add_special_tokens=False)):
+        want.setdefault(i, []).append((len(e.ids) + 1, zlib.crc32(np.array([*e.ids, 2], "<u4").tobytes())))
+    got = {}
+    for r in out:
+        got.setdefault(r.doc_id, []).append((r.n_tokens, r.ids_crc32))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    at = 0
+    for r in sorted(out, key=lambda r: (r.start, r.n_tokens)):
+        assert r.start == at
+        at += r.n_tokens
+    known = [r.doc_id for r in sorted(out, key=lambda r: r.start) if r.doc_id is not None]
+    assert known == sorted(known)
+    assert token_store.read_token_files(*token_store.write_token_files(documents(spark, []), path, False, 2)).count() == 0
+
+
+def test_packer_keeps_every_limit():
+    rng = random.Random(8)
+    masked = {k: rng.random() < 0.4 for k in range(900)}  # instructions bear no loss
+
+    def loss(key, start, length):
+        return 0 if masked[key] else length
+
+    for cut in (True, False):
+        packer = packing.VectorPacker((128, 5, 100), loss, cut=cut, window=64)
+        sizes = {k: rng.randrange(1, 100 if not cut else 400) for k in range(900)}
+        pieces = [p for k, n in sizes.items() for p in packer.add(k, n)] + list(packer.flush())
+        by_key, by_sequence = {}, {}
+        for key, start, length, sequence, offset in pieces:
+            by_key.setdefault(key, []).append((start, length))
+            by_sequence.setdefault(sequence, []).append((offset, length, loss(key, start, length)))
+        assert {k: sum(n for _, n in v) for k, v in by_key.items()} == sizes
+        for v in by_key.values():
+            v.sort()
+            assert all(a + n == b for (a, n), (b, _) in zip(v, v[1:])) and v[0][0] == 0
+        for v in by_sequence.values():
+            v.sort()
+            assert sum(n for _, n, _ in v) <= 128 and len(v) <= 5 and sum(x for *_, x in v) <= 100
+            assert all(a + n == b for (a, n, _), (b, _, _) in zip(v, v[1:])) and v[0][0] == 0
+    with pytest.raises(ValueError):
+        list(packing.VectorPacker((10, 1, 10), lambda k, s, n: n, cut=False).add("x", 11))
+
+
+def test_packing_returns_every_id_once(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = EDGES + [(20 + k, " ".join(words(10 + 37 * k, k)), None) for k in range(30)]
+    out = packing.pack_documents(documents(spark, rows).repartition(2), path).collect()
+    enc = ChunkEncoder(path, True)
+    for i, t, _ in rows[8:]:
+        ids = np.frombuffer(enc.encode([t])[0] + b"\0\0\0\0", "<u4")
+        at = 0
+        for r in sorted((r for r in out if r.doc_id == i), key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert {(r.doc_id, r.length) for r in out if r.doc_id in (1, 2)} == {(1, 1), (2, 1)}
+    totals = {}
+    for r in out:
+        totals[r.sequence_id] = totals.get(r.sequence_id, 0) + r.length
+    assert all(n & (n - 1) == 0 and n <= 1024 for n in totals.values())
+    assert packing.pack_documents(documents(spark, []), path).count() == 0
+
+
+# personal data
+
+
+def plain_spans(t):
+    def luhn(d):
+        total = 0
+        for k, c in enumerate(d[::-1]):
+            x = int(c) * (1 + k % 2)
+            total += x - 9 if x > 9 else x
+        return total % 10 == 0
+
+    s = [(1, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    s += [(2, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    s += [(3, *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return s + [(4, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m[0])) <= 15]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a0123459.@+- ()_\né", max_size=60))
+def test_base_spans_match_plain_patterns(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_field_finds_numbers_again(spark):
+    rng = random.Random(6)
+    number = lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    train = []
+    for k in range(150):
+        n = number()
+        train.append((k, f"call +1 {n} or x{k} 12 items 2024, mail a{k}@b.org. " + (f"again +1 {n} now" if k % 2 else f"ticket {rng.randrange(10**7)} done"), None))
+    field = pii.fit(documents(spark, train))
+    text = "é write to jane.doe77@mail.example.org today; number 20240101 x. Then jane.doe77@mail.example.org, or +1 (262) 555-3752. Later 555-3752 once more 20240101"
+    rows = [(1, text, None), *EDGES[1:], (9, "9" * 20_000 + " " + "a@" * 3000, None)]
+    got = {r.doc_id: r for r in pii.find(documents(spark, rows), field).collect()}
+    base = [(s.kind, text[s.start : s.end]) for s in got[1].base]
+    assert base == [("email", "jane.doe77@mail.example.org")] * 2 + [("phone", "+1 (262) 555-3752")]
+    assert set(got[1].base) <= set(got[1].spans)
+    assert all(text[s.start : s.end] == "555-3752" for s in set(got[1].spans) - set(got[1].base))
+    assert got[2].spans == [] and got[4].spans == []
+    assert pii.find(documents(spark, []), pii.fit(documents(spark, []))).count() == 0
+
+
+def test_message_passing_is_exact_on_a_chain():
+    rng = np.random.default_rng(9)
+    f = pii.SkipChainField(rng.normal(size=(len(pii.SHAPES), pii.K)), rng.normal(size=(pii.K, pii.K)), rng.normal(size=(pii.K, pii.K)))
+    g = pii.graph(["a1 b22 c@x 44"], [[]])
+    p = f.marginals(g)
+    own, n = g.shapes @ f.node, len(g.label)
+    total = np.zeros((n, pii.K))
+    for y in np.ndindex(*[pii.K] * n):
+        w = np.exp(sum(own[i, y[i]] for i in range(n)) + sum(f.chain[y[i], y[j]] for i, j in g.chain) + sum(f.skip[y[i], y[j]] for i, j in g.skip))
+        for i in range(n):
+            total[i, y[i]] += w
+    assert np.allclose(p, total / total.sum(axis=1, keepdims=True), atol=1e-3)
+
+
+# pages
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a><li><a href=y>About us</a></ul></nav>
+<div class="cookie-notice">We use cookies, please accept them.</div><div class=sidebar><p>Side text, long enough to look real.</p></div>
+<article><h1>The &Uuml;ber title</h1><p><b>First  paragraph,&nbsp;with text.<br><p>Second &amp; third; <a href=z>a link</a> in it.</p>
+<form><label>Mail</label><input></form><aside>Read this too.</aside></article>
+<section id="comments"><p>Great article, thank you very much!</p></section><footer>&copy; 2024</footer></body></html>"""
+
+
+def test_page_text(spark):
+    want = "The Über title\nFirst paragraph, with text.\nSecond & third; a link in it."
+    pages = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", PAGE[:-40]), (4, "u", "just words"), (5, "u", "<div>" * 3000 + "deep text, here."), (6, "u", "<p>x < y &lt;b&gt; &amp;amp;")]
+    out = html_extract.extract(spark.createDataFrame([(*p, "t", 5) for p in pages], "page_id bigint, url string, html string, text string, n_chars int"))
+    got = [(r.page_id, r.text) for r in out.collect()]
+    assert got == [(1, want), (2, ""), (3, ""), (4, want), (4, "just words"), (5, "deep text, here."), (6, "x < y <b> &amp;")]
+    assert all(r.n_chars == len(r.text) for r in out.collect())
+    assert html_extract.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline_matches_plain_versions(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        kept = {r.doc_id for r in out.collect()}
+        if name == "language_id":
+            assert kept == {i for i, t, _ in rows if re.search(r"[^\W\d_]", t or "")}
+        if name == "exact_dedup":
+            last = {}
+            for i, t, _ in rows:
+                last[(t or "").translate(LOWER)] = max(i, last.get((t or "").translate(LOWER), -1))
+            assert kept == set(last.values())
+        if name == "ngram_jaccard_join":
+            assert kept == {i for i, (_, c) in brute_components(rows).items() if c == i}
+        if name == "decontamination":
+            plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
+            items = [plain(r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+            whole = {i for i, t, _ in rows if any(x in plain(t) for x in items)}
+            assert kept == {i for i, _, _ in rows} - whole
+        rows = [r for r in rows if r[0] in kept]
+        docs = docs.where(docs.doc_id.isin(list(kept)))
+    pieces = pipeline.run(spark, d).groupBy("doc_id").sum("length").collect()
+    assert {r.doc_id for r in pieces} == {i for i, _, _ in rows}
