@@ -22,9 +22,12 @@ Steps.
  1. One pass counts shingles into the table (COUNTERS numbers reach the driver).
  2. One pass gives size, set fingerprint, point and prefix of every text.
     Texts with equal sets form a class; its smallest doc_id goes on alone.
- 3. Prefix shingles shuffle; buckets of one are dropped.
- 4. Star step: each member is tried with its bucket's first.  Sizes and the
-    bound of the points prune, the rest is verified, links are contracted.
+ 3. Prefix shingles shuffle; buckets of one are dropped, and of buckets with
+    the same members (shingles of one shared passage) one is kept.
+ 4. Star step: each member is tried with its bucket's centre, the member whose
+    prefix meets most others: in a group of edited copies that is what they
+    were copied from.  Sizes and the bound of the points prune, the rest is
+    verified, links are contracted.
  5. Tree step: buckets of three and more that still span several components
     get an R-tree; only pairs across components that survive it are verified.
     A large group of near copies is one component by then, so its pairs are
@@ -67,6 +70,16 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles & _U(g - 1)).astype(np.int64), minlength=g).astype("<u4")
 
 
+def to_cell(vector: np.ndarray) -> bytes:
+    """One byte a group where the counts allow it, as they nearly always do; else four after a zero byte."""
+    return vector.astype(np.uint8).tobytes() if vector.max(initial=0) < 256 else b"\0" + vector.tobytes()
+
+
+def from_cell(cell) -> np.ndarray:
+    raw = np.frombuffer(cell, np.uint8)
+    return raw.astype("<u4") if len(raw) % 2 == 0 else raw[1:].view("<u4")
+
+
 def fold(vector: np.ndarray, g: int) -> np.ndarray:
     """The same counts over fewer groups."""
     return vector.reshape(-1, g).sum(axis=0) if len(vector) > g else vector
@@ -77,6 +90,12 @@ def needed(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
+def possible(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether the bound of two points, over as many groups as both have, allows the threshold."""
+    g = min(len(x), len(y))
+    return int(np.minimum(fold(x, g), fold(y, g)).sum()) >= needed(int(x.sum()), int(y.sum()), num, den)
+
+
 class CountRTree:
     """Static R-tree over count vectors, packed by total and then by the largest spread."""
 
@@ -137,7 +156,7 @@ def _features(docs: DataFrame, counters: np.ndarray, num: int, den: int) -> Data
                 n.append(len(s))
                 a.append(int(tokens.mix(s).sum(dtype=_U).view(np.int64)))
                 b.append(int(tokens.mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64)))
-                points.append(count_vector(s).tobytes())
+                points.append(to_cell(count_vector(s)))
                 m = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 if 0 < m < len(s):
                     s = s[np.lexsort((s, freq[(s >> _U(64 - COUNTER_BITS)).astype(np.int64)]))[:m]]
@@ -165,9 +184,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFra
         for b in batches:
             keep = []
             for x, y in zip(b.column("pu"), b.column("pv")):
-                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-                g = min(len(x), len(y))
-                keep.append(int(np.minimum(fold(x, g), fold(y, g)).sum()) >= needed(int(x.sum()), int(y.sum()), num, den))
+                keep.append(possible(from_cell(x.as_buffer()), from_cell(y.as_buffer()), num, den))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "u bigint, v bigint")
@@ -232,7 +249,7 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
 
     def bucket(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         ids, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
-        points = [np.frombuffer(r[3], "<u4") for r in rows]
+        points = [from_cell(r[3]) for r in rows]
         g = min(map(len, points))
         flat = np.array([fold(p, g) for p in points])
         tree = CountRTree(flat, n, num, den)
@@ -240,6 +257,7 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
         for i in range(len(ids)):
             j = tree.search(flat[i], int(n[i]))
             j = j[(ids[j] > ids[i]) & (comp[j] != comp[i])]
+            j = j[[possible(points[i], points[k], num, den) for k in j]] if len(j) else j
             us.append(np.full(len(j), ids[i]))
             vs.append(ids[j])
         return np.concatenate(us), np.concatenate(vs)
@@ -285,10 +303,15 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
     classes = saved(features.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
     reps = features.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     window = Window.partitionBy("h")
-    postings = reps.select(F.explode("prefix").alias("h"), "doc_id").withColumn("members", F.count(F.lit(1)).over(window)).where("members > 1")
-    postings = saved(postings.withColumn("first", F.min("doc_id").over(window)))
-
-    star = postings.where("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v")).distinct()
+    met = saved(reps.select(F.explode("prefix").alias("h"), "doc_id").withColumn("members", F.count(F.lit(1)).over(window)).where("members > 1"))
+    reach = met.groupBy("doc_id").agg(F.sum("members").alias("reach"))
+    buckets = met.join(reach, "doc_id").groupBy("h").agg(
+        F.max(F.struct("reach", (-F.col("doc_id")).alias("m"))).alias("top"), F.first("members").alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.pmod(F.xxhash64("doc_id", "doc_id"), F.lit(1 << 40))).alias("s")
+    )
+    buckets = saved(buckets.groupBy("members", "x", "s").agg(F.min("h").alias("h"), F.first(-F.col("top.m")).alias("centre")).select("h", "centre"))
+    postings = saved(met.join(buckets, "h"))
+
+    star = postings.where("doc_id <> centre").select(F.least("centre", "doc_id").alias("u"), F.greatest("centre", "doc_id").alias("v")).distinct()
     points = features.select("doc_id", "n", "point")
     links = saved(_verified(saved(_bounded(star, points, num, den)), docs, num, den))
     comp = saved(components(links))
@@ -297,7 +320,7 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
     split = wide.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
     open_ = wide.join(split, "h", "left_semi").join(points, "doc_id")
     pairs = open_.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _tree_pairs(it, num, den), "u bigint, v bigint").distinct()
-    more = saved(_verified(saved(_bounded(pairs.join(star, ["u", "v"], "left_anti"), points, num, den)), docs, num, den))
+    more = saved(_verified(saved(pairs.join(star, ["u", "v"], "left_anti")), docs, num, den))
     if not more.isEmpty():
         comp = saved(components(links.unionByName(more)))
 
