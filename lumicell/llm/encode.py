@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks kept by a worker, and the longest chunk kept.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 40
+CACHE_CHUNKS, CACHE_CHARS = 600_000, 40
 
 _CHUNK = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 _WORD = re.compile(r"[^ \t\n\r]+")
@@ -39,12 +39,35 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split = (_CHUNK if keep_space else _WORD).findall
+        self.keep_space = keep_space
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: its letters stand for one byte each
+        for token, k in vocabulary.items():
+            self.size[k] = len(token.removesuffix("</w>"))
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
+    def _one_by_one(self, chunks: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in out]
 
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """The chunks as one text, cut again by the tokens' bytes; one by one if the cuts don't fall on tokens."""
+        if self.keep_space:
+            joined, sizes = "".join(chunks), [len(c.encode()) for c in chunks]
+        else:
+            joined, sizes = " ".join(chunks), [len(c.lower().encode()) for c in chunks]
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.size[ids])
+        want = np.cumsum(sizes)
+        at = np.searchsorted(ends, want, "right")
+        if len(ids) == 0 or ends[-1] != want[-1] or (ends[at - 1] != want).any():
+            return self._one_by_one(chunks)
+        raw, out, a = ids.tobytes(), [], 0
+        for b in (4 * at).tolist():
+            out.append(raw[a:b])
+            a = b
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [bool(_ODD.search(t)) for t in texts]
         parts = [[t] if odd else self.split(t) for t, odd in zip(texts, whole)]
@@ -52,8 +75,13 @@ class ChunkEncoder:
         if len(known) > CACHE_CHUNKS:
             known.clear()
         new = [c for c in set().union(*parts) if c not in known]
-        for a in range(0, len(new), 4096):
-            known.update(zip(new[a : a + 4096], self._encode(new[a : a + 4096])))
+        # chunks that begin with their only space, or have none, can't merge with neighbours
+        plain = [c for c in new if (c[0] == " " and len(c) > 1 if self.keep_space else True) and len(c) <= CACHE_CHARS and c.isprintable()]
+        rest = set(new).difference(plain)
+        for a in range(0, len(plain), 2048):
+            known.update(zip(plain[a : a + 2048], self._encode(plain[a : a + 2048])))
+        rest = list(rest)
+        known.update(zip(rest, self._one_by_one(rest)))
         out = [b"".join(map(known.__getitem__, p)) for p in parts]
         for c in new:
             if len(c) > CACHE_CHARS:
