@@ -93,3 +93,16 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     dropped = saved(dropped.distinct())
     small = dropped.count() <= BROADCAST_KEYS
     return docs.join(F.broadcast(dropped) if small else dropped.hint("merge"), dropped.columns, "left_anti")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, fold, rows: int) -> DataFrame:
+    """About `rows` rows of (doc_id, text, label) with a label, in the fold.
+
+    The sample is drawn from the narrow labels by a hash of doc_id and then
+    broadcast: its size is bounded by `rows`, and texts don't shuffle.
+    """
+    known = labels.where(F.col(column).isNotNull() & fold).select("doc_id", F.col(column).alias("label"))
+    n = known.count()
+    if n > rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
 from . import decontaminate, html_extract, jaccard_join, language_id, packing, pii, quality, token_store, toxicity
-from .common import crc_mod, table
+from .common import crc_mod, labelled_sample, table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = docs.where(crc_mod(F.col("doc_id"), 5) != 0).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    known = labelled_sample(docs, labels, "quality", crc_mod(F.col("doc_id"), 5) != 0, quality.FIT_ROWS)
     scored = quality.predict(docs, quality.fit(known))
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -55,7 +55,7 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = docs.where(crc_mod(F.col("doc_id"), 3) != 1).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    known = labelled_sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 3) != 1, toxicity.FIT_ROWS)
     scored = toxicity.predict(docs, toxicity.fit(known))
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
