@@ -29,7 +29,11 @@ Steps.
     were copied from.  Sizes and the bound of the points prune, the rest is
     verified, links are contracted.
  5. Tree step: buckets of three and more that still span several components
-    get an R-tree; only pairs across components that survive it are verified.
+    get R-trees over finer points.  Members outside the bucket's largest
+    component are the queries; large buckets are cut into slices, and queries
+    go to all slices of theirs.  A first round verifies the best survivor for
+    each query and component, which joins most queries to their group; a second
+    round, over what still spans components, verifies all survivors.
     A large group of near copies is one component by then, so its pairs are
     never listed.
  6. Components of all links by large-star/small-star contraction.
@@ -57,6 +61,8 @@ COUNTER_BITS = 18
 BROADCAST_IDS = 4_000_000
 #: Children of an R-tree node.
 FANOUT = 16
+#: Members of a bucket that one tree slice holds, and groups of a fine point at most: 16 MB a slice.
+TREE_ROWS, FINE_GROUPS = 2048, 1 << 13
 _U = np.uint64
 
 
@@ -114,8 +120,8 @@ class CountRTree:
             top, low, high = np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
             self.levels.append((top, low, high))
 
-    def search(self, vector: np.ndarray, size: int) -> np.ndarray:
-        """Points whose overlap bound with `vector` allows the threshold."""
+    def search(self, vector: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points whose overlap bound with `vector` allows the threshold, and the bounds."""
         at = np.arange(len(self.levels[-1][0])) if self.levels else np.arange(len(self.points))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[depth]
@@ -125,9 +131,10 @@ class CountRTree:
             at = (at[keep][:, None] * FANOUT + np.arange(FANOUT)).ravel()
             at = at[at < len(below)]
         other = self.sizes[at]
-        ok = np.minimum(self.points[at], vector).sum(axis=1) >= needed(size, other, self.num, self.den)
+        bound = np.minimum(self.points[at], vector).sum(axis=1)
+        ok = bound >= needed(size, other, self.num, self.den)
         ok &= (self.den * size >= self.num * other) & (self.den * other >= self.num * size)
-        return self.order[at[ok]]
+        return self.order[at[ok]], bound[ok]
 
 
 def _shingles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -244,46 +251,92 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _tree_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc_id, comp, n, point) sorted by h: pairs across components that a bucket's R-tree leaves."""
-
-    def bucket(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
-        points = [from_cell(r[3]) for r in rows]
-        g = min(map(len, points))
-        flat = np.array([fold(p, g) for p in points])
-        tree = CountRTree(flat, n, num, den)
-        us, vs = [], []
-        for i in range(len(ids)):
-            j = tree.search(flat[i], int(n[i]))
-            j = j[(ids[j] > ids[i]) & (comp[j] != comp[i])]
-            j = j[[possible(points[i], points[k], num, den) for k in j]] if len(j) else j
-            us.append(np.full(len(j), ids[i]))
-            vs.append(ids[j])
-        return np.concatenate(us), np.concatenate(vs)
+def _fine_points(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, n and the fine point (one to two groups a shingle) of the documents in ids."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            g, off = _shingles(batch)
+            sets = [np.unique(g[off[i] : off[i + 1]]) for i in range(batch.num_rows)]
+            cells = []
+            for s in sets:
+                fine = min(FINE_GROUPS, 4 * int(groups_for(np.array([len(s)]))[0]))
+                cells.append(to_cell(np.bincount((s & _U(fine - 1)).astype(np.int64), minlength=fine).astype("<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(cells, pa.binary())], ["doc_id", "n", "point"])
+
+    return _only(docs, ids).dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id bigint, n bigint, point binary")
+
+
+def _slice_pairs(rows: list[tuple], num: int, den: int, best: bool) -> tuple[list[int], list[int]]:
+    """Pairs across components that R-trees leave, of rows (doc_id, comp, n, point, query, home).
+
+    There is a tree for each number of groups, searched at the coarser of its
+    and the query's resolution.  best: only the likeliest for each query and component.
+    """
+    ids, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
+    points = [from_cell(r[3]) for r in rows]
+    query, home = (np.array([r[k] for r in rows], bool) for k in (4, 5))
+    groups = np.array([len(p) for p in points])
+    trees: dict[tuple[int, int], tuple[np.ndarray, CountRTree]] = {}
+    us, vs = [], []
+    for i in np.flatnonzero(query):
+        for g in np.unique(groups[home]):
+            if not groups[i] <= 2 * g <= 4 * groups[i]:  # sizes of a link are within a factor of two
+                continue
+            at = min(int(g), int(groups[i]))
+            if (g, at) not in trees:
+                own = np.flatnonzero(home & (groups == g))
+                flat = np.array([fold(points[k], at) for k in own])
+                trees[g, at] = own, CountRTree(flat.astype(np.uint8) if flat.max() < 256 else flat, n[own], num, den)
+            own, tree = trees[g, at]
+            found, bound = tree.search(fold(points[i], at), int(n[i]))
+            j = own[found]
+            keep = (comp[j] != comp[i]) & (~query[j] | (ids[j] > ids[i]))
+            j, bound = j[keep], bound[keep]
+            if best and len(j):
+                order = np.lexsort((ids[j], -bound / (n[j] + n[i])))
+                j = j[order[np.unique(comp[j][order], return_index=True)[1]]]
+            us += [int(ids[i])] * len(j)
+            vs += ids[j].tolist()
+    return us, vs
+
+
+def _tree_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, best: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (u < v) of each run of rows with the same bucket and slice."""
     held: list[tuple] = []
-    at, out = None, []
+    at = None
 
     def emit() -> pa.RecordBatch:
-        u, v = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        u, v = (np.array(x, np.int64) for x in _slice_pairs(held, num, den, best))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     for b in batches:
-        for h, doc, comp, n, point in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "comp", "n", "point"))):
-            if h != at and held:
-                out.append(bucket(held))
+        for h, part, *row in zip(*(b.column(c).to_pylist() for c in ("h", "part", "doc_id", "comp", "n", "point", "query", "home"))):
+            if (h, part) != at and held:
+                yield emit()
                 held = []
-            at = h
-            held.append((doc, comp, n, point))
-        if out:
-            yield emit()
-            out = []
+            at = h, part
+            held.append(tuple(row))
     if held:
-        out.append(bucket(held))
         yield emit()
 
 
+def _open_slices(wide: DataFrame, comp: DataFrame) -> DataFrame:
+    """Slices (h, part) of the buckets in wide (h, doc_id) that span several components.
+
+    Rows outside the bucket's largest component are queries and go to all slices;
+    home marks the slice that a row is a point of.
+    """
+    wide = wide.join(comp.withColumnsRenamed({"node": "doc_id", "root": "comp"}), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    largest = wide.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("members"), F.count(F.lit(1)).alias("comps"))
+    largest = saved(largest.where("comps > 1").select("h", F.col("top.comp").alias("main"), F.ceil(F.col("members") / TREE_ROWS).cast("int").alias("parts")))
+    return saved(
+        wide.join(largest, "h").select("h", "doc_id", "comp", (F.col("comp") != F.col("main")).alias("query"), "parts", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("at"))
+        .select("*", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("at"))).alias("part"))
+        .select("h", "part", "doc_id", "comp", "query", (F.col("at") == F.col("part")).alias("home"))
+    )
+
+
 def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of (doc_id, text).
 
@@ -316,13 +369,22 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
     links = saved(_verified(saved(_bounded(star, points, num, den)), docs, num, den))
     comp = saved(components(links))
 
-    wide = postings.where("members > 2").select("h", "doc_id").join(comp.withColumnsRenamed({"node": "doc_id", "root": "comp"}), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    split = wide.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    open_ = wide.join(split, "h", "left_semi").join(points, "doc_id")
-    pairs = open_.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _tree_pairs(it, num, den), "u bigint, v bigint").distinct()
-    more = saved(_verified(saved(pairs.join(star, ["u", "v"], "left_anti")), docs, num, den))
-    if not more.isEmpty():
-        comp = saved(components(links.unionByName(more)))
+    wide, tried = postings.where("members > 2").select("h", "doc_id"), star
+    fine = None
+    for best in (True, False):
+        open_ = _open_slices(wide, comp)
+        if fine is None:  # the second round's documents are among the first's
+            fine = saved(_fine_points(docs, saved(open_.select("doc_id").distinct())))
+        dealt = open_.join(fine, "doc_id").repartition("h", "part").sortWithinPartitions("h", "part")
+        pairs = dealt.mapInArrow(lambda it, best=best: _tree_pairs(it, num, den, best), "u bigint, v bigint").distinct()
+        pairs = saved(pairs.join(tried, ["u", "v"], "left_anti"))
+        if pairs.isEmpty():  # in the first round all best pairs may be tried ones
+            continue
+        more = saved(_verified(pairs, docs, num, den))
+        tried = tried.unionByName(pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = saved(components(links))
 
     # classes to components; a class with very many copies is broadcast, so its rows never meet in one task
     total = features.count()

@@ -139,11 +139,28 @@ def test_tree_search_loses_no_pair():
     n = np.array([len(s) for s in sets])
     tree = jaccard_join.CountRTree(v, n, 75, 100)
     for i, s in enumerate(sets):
-        found = set(tree.search(v[i], int(n[i])).tolist())
+        found = set(tree.search(v[i], int(n[i]))[0].tolist())
         exact = {j for j, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 75 * len(np.union1d(s, t))}
         assert exact <= found
 
 
+def test_tree_slices_reach_every_link_across_components():
+    """Rows of several sizes in two slices: queries go to both, links of all others across components are found once."""
+    rng = np.random.default_rng(3)
+    fresh = lambda k: rng.integers(0, 2**63, k, dtype=np.uint64)
+    base = {k: np.unique(fresh(m)) for k, m in enumerate((20, 120, 130, 500))}
+    sets = [np.unique(np.concatenate([b[: len(b) - k], fresh(k)])) for b in base.values() for k in (0, 1, 2, 3, len(b) // 5)]
+    comp = [0 if k % 5 < 3 and k < 10 else k for k in range(len(sets))]
+    cell = [jaccard_join.to_cell(jaccard_join.count_vector(s)) for s in sets]
+    rows = [(k, comp[k], len(s), cell[k], comp[k] != 0) for k, s in enumerate(sets)]
+    found = []
+    for part in (0, 1):
+        u, v = jaccard_join._slice_pairs([(*r, r[0] % 2 == part) for r in rows if r[4] or r[0] % 2 == part], 75, 100, False)
+        found += [(min(p), max(p)) for p in zip(u, v)]
+    exact = {(i, j) for j, t in enumerate(sets) for i, s in enumerate(sets[:j]) if comp[i] != comp[j] and 100 * len(np.intersect1d(s, t)) >= 75 * len(np.union1d(s, t))}
+    assert exact and exact <= set(found) and len(found) == len(set(found))
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(300, 300)]
     got = {r.node: r.root for r in jaccard_join.components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
