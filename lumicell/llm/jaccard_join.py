@@ -33,7 +33,7 @@ Steps.
     component are the queries; large buckets are cut into slices, and queries
     go to all slices of theirs.  A first round verifies the best survivor for
     each query and component, which joins most queries to their group; a second
-    round, over what still spans components, verifies all survivors.
+    round, over buckets that had others and still span components, verifies all.
     A large group of near copies is one component by then, so its pairs are
     never listed.
  6. Components of all links by large-star/small-star contraction.
@@ -264,21 +264,22 @@ def _fine_points(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 cells.append(to_cell(np.bincount((s & _U(fine - 1)).astype(np.int64), minlength=fine).astype("<u4")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(cells, pa.binary())], ["doc_id", "n", "point"])
 
-    return _only(docs, ids).dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id bigint, n bigint, point binary")
+    return _only(docs, ids).mapInArrow(run, "doc_id bigint, n bigint, point binary").dropDuplicates(["doc_id"])
 
 
-def _slice_pairs(rows: list[tuple], num: int, den: int, best: bool) -> tuple[list[int], list[int]]:
+def _slice_pairs(rows: list[tuple], num: int, den: int, best: bool) -> tuple[list[int], list[int], bool]:
     """Pairs across components that R-trees leave, of rows (doc_id, comp, n, point, query, home).
 
     There is a tree for each number of groups, searched at the coarser of its
-    and the query's resolution.  best: only the likeliest for each query and component.
+    and the query's resolution.  best: only the likeliest for each query and component;
+    the last value tells whether others were left out.
     """
     ids, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
     points = [from_cell(r[3]) for r in rows]
     query, home = (np.array([r[k] for r in rows], bool) for k in (4, 5))
     groups = np.array([len(p) for p in points])
     trees: dict[tuple[int, int], tuple[np.ndarray, CountRTree]] = {}
-    us, vs = [], []
+    us, vs, rest = [], [], False
     for i in np.flatnonzero(query):
         for g in np.unique(groups[home]):
             if not groups[i] <= 2 * g <= 4 * groups[i]:  # sizes of a link are within a factor of two
@@ -295,20 +296,23 @@ def _slice_pairs(rows: list[tuple], num: int, den: int, best: bool) -> tuple[lis
             j, bound = j[keep], bound[keep]
             if best and len(j):
                 order = np.lexsort((ids[j], -bound / (n[j] + n[i])))
-                j = j[order[np.unique(comp[j][order], return_index=True)[1]]]
+                first = np.unique(comp[j][order], return_index=True)[1]
+                rest |= len(first) < len(j)
+                j = j[order[first]]
             us += [int(ids[i])] * len(j)
             vs += ids[j].tolist()
-    return us, vs
+    return us, vs, rest
 
 
 def _tree_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, best: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs (u < v) of each run of rows with the same bucket and slice."""
+    """Pairs (u < v) of each run of rows with the same bucket and slice; a row with `rest` names a bucket with more pairs."""
     held: list[tuple] = []
     at = None
 
     def emit() -> pa.RecordBatch:
-        u, v = (np.array(x, np.int64) for x in _slice_pairs(held, num, den, best))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        us, vs, rest = _slice_pairs(held, num, den, best)
+        pairs = [(min(p), max(p), None) for p in zip(us, vs)] + [(None, None, at[0])] * rest
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(3)], ["u", "v", "rest"])
 
     for b in batches:
         for h, part, *row in zip(*(b.column(c).to_pylist() for c in ("h", "part", "doc_id", "comp", "n", "point", "query", "home"))):
@@ -376,8 +380,9 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
         if fine is None:  # the second round's documents are among the first's
             fine = saved(_fine_points(docs, saved(open_.select("doc_id").distinct())))
         dealt = open_.join(fine, "doc_id").repartition("h", "part").sortWithinPartitions("h", "part")
-        pairs = dealt.mapInArrow(lambda it, best=best: _tree_pairs(it, num, den, best), "u bigint, v bigint").distinct()
-        pairs = saved(pairs.join(tried, ["u", "v"], "left_anti"))
+        found = saved(dealt.mapInArrow(lambda it, best=best: _tree_pairs(it, num, den, best), "u bigint, v bigint, rest bigint"))
+        wide = wide.join(found.where("rest is not null").select(F.col("rest").alias("h")).distinct(), "h", "left_semi")
+        pairs = saved(found.where("u is not null").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
         if pairs.isEmpty():  # in the first round all best pairs may be tried ones
             continue
         more = saved(_verified(pairs, docs, num, den))

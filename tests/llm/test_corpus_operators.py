@@ -155,7 +155,7 @@ def test_tree_slices_reach_every_link_across_components():
     rows = [(k, comp[k], len(s), cell[k], comp[k] != 0) for k, s in enumerate(sets)]
     found = []
     for part in (0, 1):
-        u, v = jaccard_join._slice_pairs([(*r, r[0] % 2 == part) for r in rows if r[4] or r[0] % 2 == part], 75, 100, False)
+        u, v, _ = jaccard_join._slice_pairs([(*r, r[0] % 2 == part) for r in rows if r[4] or r[0] % 2 == part], 75, 100, False)
         found += [(min(p), max(p)) for p in zip(u, v)]
     exact = {(i, j) for j, t in enumerate(sets) for i, s in enumerate(sets[:j]) if comp[i] != comp[j] and 100 * len(np.intersect1d(s, t)) >= 75 * len(np.union1d(s, t))}
     assert exact and exact <= set(found) and len(found) == len(set(found))
