@@ -30,8 +30,8 @@ Steps.
     verified, links are contracted.
  5. Tree step: buckets of three and more that still span several components
     get R-trees over finer points.  Members outside the bucket's largest
-    component are the queries; large buckets are cut into slices, and queries
-    go to all slices of theirs.  A first round verifies the best survivor for
+    component are the queries; large buckets are cut into slices of near sizes,
+    and queries go to all slices whose sizes could reach the threshold.  A first round verifies the best survivor for
     each query and component, which joins most queries to their group; a second
     round, over buckets that had others and still span components, verifies all.
     A large group of near copies is one component by then, so its pairs are
@@ -44,6 +44,8 @@ a checked size or is left to a shuffle join.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +65,8 @@ BROADCAST_IDS = 4_000_000
 FANOUT = 16
 #: Members of a bucket that one tree slice holds, and groups of a fine point at most: 16 MB a slice.
 TREE_ROWS, FINE_GROUPS = 2048, 1 << 13
+#: Bytes of a prefix shingle's hash that name its bucket; sharing a key by chance only adds members to a bucket.
+KEY_BYTES = 6
 _U = np.uint64
 
 
@@ -77,13 +81,25 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
 
 
 def to_cell(vector: np.ndarray) -> bytes:
-    """One byte a group where the counts allow it, as they nearly always do; else four after a zero byte."""
-    return vector.astype(np.uint8).tobytes() if vector.max(initial=0) < 256 else b"\0" + vector.tobytes()
+    """Width of a count (1, or 4 where a count needs it), then the counts in Huffman codes: about two bits each."""
+    width = 1 if vector.max(initial=0) < 256 else 4
+    coder = zlib.compressobj(1, zlib.DEFLATED, -9, 1, zlib.Z_HUFFMAN_ONLY)
+    return bytes([width]) + coder.compress(vector.astype(f"<u{width}").tobytes()) + coder.flush()
 
 
 def from_cell(cell) -> np.ndarray:
-    raw = np.frombuffer(cell, np.uint8)
-    return raw.astype("<u4") if len(raw) % 2 == 0 else raw[1:].view("<u4")
+    raw = memoryview(cell)
+    return np.frombuffer(zlib.decompress(raw[1:], -9), f"<u{raw[0]}").astype("<u4")
+
+
+def to_keys(shingles: np.ndarray) -> bytes:
+    """The upper KEY_BYTES bytes of each hash."""
+    return shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def from_keys(cell) -> np.ndarray:
+    keys = np.frombuffer(cell, np.uint8).reshape(-1, KEY_BYTES)
+    return np.pad(keys, ((0, 0), (8 - KEY_BYTES, 0))).view(">u8").ravel().astype(np.int64)
 
 
 def fold(vector: np.ndarray, g: int) -> np.ndarray:
@@ -167,14 +183,25 @@ def _features(docs: DataFrame, counters: np.ndarray, num: int, den: int) -> Data
                 m = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 if 0 < m < len(s):
                     s = s[np.lexsort((s, freq[(s >> _U(64 - COUNTER_BITS)).astype(np.int64)]))[:m]]
-                prefixes.append(s)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes).view(np.int64)))
+                prefixes.append(to_keys(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(points, pa.binary()), lists],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(points, pa.binary()), pa.array(prefixes, pa.binary())],
                 ["doc_id", "n", "a", "b", "point", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, a bigint, b bigint, point binary, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, a bigint, b bigint, point binary, prefix binary")
+
+
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """(h, doc_id) of every key of (doc_id, prefix), once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "prefix"):
+            keys = [np.unique(from_keys(x.as_buffer())) for x in b.column("prefix")]
+            ids = np.repeat(b.column("doc_id").to_numpy(), list(map(len, keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], ["h", "doc_id"])
+
+    return prefixes.select("doc_id", "prefix").mapInArrow(run, "h bigint, doc_id bigint")
 
 
 def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -325,20 +352,39 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, best: boo
         yield emit()
 
 
-def _open_slices(wide: DataFrame, comp: DataFrame) -> DataFrame:
-    """Slices (h, part) of the buckets in wide (h, doc_id) that span several components.
+def _with_partners(wide: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of wide (h, doc_id, n, members) without those of small buckets whose
+    size reaches the threshold with no other member's; large buckets stay as they are."""
+    by_size = Window.partitionBy("h").orderBy("n")
+    small = wide.where(F.col("members") <= TREE_ROWS).select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
+    small = small.where((F.col("less") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("more") * num))
+    return small.select(*wide.columns).unionByName(wide.where(F.col("members") > TREE_ROWS))
+
+
+def _open_slices(wide: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+    """Slices (h, part) of the buckets in wide (h, doc_id, n, members) that span several components.
 
-    Rows outside the bucket's largest component are queries and go to all slices;
-    home marks the slice that a row is a point of.
+    Rows outside the bucket's largest component are queries.  A large bucket is
+    cut into bands of sizes a threshold wide and those into slices; a query goes
+    to all slices of the bands that its partners can be in.  home marks the
+    slice that a row is a point of; slices that no query reaches are left out.
     """
     wide = wide.join(comp.withColumnsRenamed({"node": "doc_id", "root": "comp"}), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    largest = wide.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("members"), F.count(F.lit(1)).alias("comps"))
-    largest = saved(largest.where("comps > 1").select("h", F.col("top.comp").alias("main"), F.ceil(F.col("members") / TREE_ROWS).cast("int").alias("parts")))
-    return saved(
-        wide.join(largest, "h").select("h", "doc_id", "comp", (F.col("comp") != F.col("main")).alias("query"), "parts", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("at"))
-        .select("*", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("at"))).alias("part"))
-        .select("h", "part", "doc_id", "comp", "query", (F.col("at") == F.col("part")).alias("home"))
+    largest = wide.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
+    largest = saved(largest.where("comps > 1").select("h", F.col("top.comp").alias("main")))
+    at = F.when(F.col("members") > TREE_ROWS, F.log(F.col("n").cast("double")) / math.log(den / num)).otherwise(F.lit(0.0)) if num < den else F.lit(0.0)
+    reach = F.when(F.col("members") > TREE_ROWS, F.lit(1 + 1e-6)).otherwise(F.lit(0.0)) if num < den else F.lit(0.0)
+    rows = saved(
+        wide.join(largest, "h").select("h", "doc_id", "comp", (F.col("comp") != F.col("main")).alias("query"), *(F.floor(at + sign * reach).cast("int").alias(c) for c, sign in (("band", 0), ("low", -1), ("high", 1))))
     )
+    parts = saved(rows.groupBy("h", "band").agg(F.ceil(F.count(F.lit(1)) / TREE_ROWS).cast("int").alias("parts")))
+    asked = rows.where("query").select("h", "doc_id", "comp", F.col("band").alias("own"), F.explode(F.sequence("low", "high")).alias("band")).join(parts, ["h", "band"])
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("at"))
+    asked = saved(asked.where("band <> own or at <> pmod(xxhash64(doc_id), parts)").select("h", "band", "at", "doc_id", "comp", F.lit(True).alias("query"), F.lit(False).alias("home")))
+    homes = rows.join(parts, ["h", "band"]).select("h", "band", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)").alias("at"), "doc_id", "comp", "query", F.lit(True).alias("home"))
+    reached = asked.select("h", "band", "at").unionByName(homes.where("query").select("h", "band", "at")).distinct()
+    homes = homes.join(reached, ["h", "band", "at"], "left_semi")
+    return saved(homes.unionByName(asked).select("h", F.expr("band * 4294967296L + at").alias("part"), "doc_id", "comp", "query", "home"))
 
 
 def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
@@ -358,9 +404,9 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
 
     features = saved(_features(docs, counters, num, den))
     classes = saved(features.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
-    reps = features.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = features.where("n > 0").select("doc_id", "prefix").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     window = Window.partitionBy("h")
-    met = saved(reps.select(F.explode("prefix").alias("h"), "doc_id").withColumn("members", F.count(F.lit(1)).over(window)).where("members > 1"))
+    met = saved(_postings(reps).withColumn("members", F.count(F.lit(1)).over(window)).where("members > 1"))
     reach = met.groupBy("doc_id").agg(F.sum("members").alias("reach"))
     buckets = met.join(reach, "doc_id").groupBy("h").agg(
         F.max(F.struct("reach", (-F.col("doc_id")).alias("m"))).alias("top"), F.first("members").alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.pmod(F.xxhash64("doc_id", "doc_id"), F.lit(1 << 40))).alias("s")
@@ -373,10 +419,11 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
     links = saved(_verified(saved(_bounded(star, points, num, den)), docs, num, den))
     comp = saved(components(links))
 
-    wide, tried = postings.where("members > 2").select("h", "doc_id"), star
+    sizes = classes.select(F.col("rep").alias("doc_id"), "n")
+    wide, tried = saved(_with_partners(postings.where("members > 2").select("h", "doc_id", "members").join(sizes, "doc_id"), num, den)), star
     fine = None
     for best in (True, False):
-        open_ = _open_slices(wide, comp)
+        open_ = _open_slices(wide, comp, num, den)
         if fine is None:  # the second round's documents are among the first's
             fine = saved(_fine_points(docs, saved(open_.select("doc_id").distinct())))
         dealt = open_.join(fine, "doc_id").repartition("h", "part").sortWithinPartitions("h", "part")
