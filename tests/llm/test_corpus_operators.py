@@ -161,6 +161,27 @@ def test_tree_slices_reach_every_link_across_components():
     assert exact and exact <= set(found) and len(found) == len(set(found))
 
 
+@pytest.mark.parametrize("top", [3, 255, 256, 70000])
+def test_points_and_keys_round_trip(top):
+    v = np.array([0, 1, top, 2] * 8, "<u4")
+    assert (jaccard_join.from_cell(jaccard_join.to_cell(v)) == v).all()
+    h = np.array([0, 1, 2**64 - 1, 0x0123456789ABCDEF], np.uint64)
+    assert jaccard_join.from_keys(jaccard_join.to_keys(h)).tolist() == [0, 0, 2**48 - 1, 0x0123456789AB]
+    assert jaccard_join.from_keys(b"").tolist() == []
+
+
+def test_large_buckets_in_bands_lose_no_link(spark, monkeypatch):
+    """Slices of three rows, one bucket of many sizes whose members link in pairs or not at all."""
+    monkeypatch.setattr(jaccard_join, "TREE_ROWS", 3)
+    shared, rows = words(12, 9), []
+    for k in range(24):
+        own = words(6 + 3 * (k // 2), 500 + k // 2)
+        rows.append((k, " ".join([*shared, *own, *(["tail%d" % k] if k % 3 else words(4, 900 + k))]), None))
+    rows += [(100 + k, rows[k][1] + " end", None) for k in range(0, 24, 5)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(300, 300)]
     got = {r.node: r.root for r in jaccard_join.components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
