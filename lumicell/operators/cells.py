@@ -93,13 +93,19 @@ def transform(d: CellData, kind: str, base: float | None = None) -> CellData:
     return d.with_counts(d.counts.withColumn("value", f))
 
 
-def gene_moments(d: CellData, by: tuple[str, ...] = ()) -> DataFrame:
-    """n, sum, mean and variances per gene (and group), zeros counted."""
+def gene_moments(d: CellData, by: tuple[str, ...] = (), every: bool = False) -> DataFrame:
+    """n, sum, mean and variances per gene (and group), zeros counted.
+
+    every: also of genes of var (in each group) without counts, whose sums are 0.
+    """
+    sums = [F.count("value").alias("nnz"), F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2")]
     if by:
-        s = d.labelled(*by).groupBy(*by, "gene").agg(F.count("value").alias("nnz"), F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"))
-        s = s.join(F.broadcast(d.group_sizes(*by)), list(by))
+        s = d.labelled(*by).groupBy(*by, "gene").agg(*sums)
+        sizes = F.broadcast(d.group_sizes(*by))
+        s = d.var.select("gene").join(sizes).join(s, [*by, "gene"], "left").fillna(0, ["nnz", "s1", "s2"]) if every else s.join(sizes, list(by))
     else:
-        s = d.counts.groupBy("gene").agg(F.count("value").alias("nnz"), F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2")).join(F.broadcast(d.n_cells()))
+        s = d.counts.groupBy("gene").agg(*sums)
+        s = (d.var.select("gene").join(s, "gene", "left").fillna(0, ["nnz", "s1", "s2"]) if every else s).join(F.broadcast(d.n_cells()))
     n = F.col("n_cells")
     return s.withColumns({"mean": F.col("s1") / n, "var": variance(F.col("s1"), F.col("s2"), n), "var1": variance(F.col("s1"), F.col("s2"), n, 1)})
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import adjust_bh, normal_tail, ratio, variance
 from ..model import CellData
-from .cells import gene_moments
+from .cells import gene_moments, sample_order
 
 
 def hvg_seurat(d: CellData, n_top: int = 50, n_bins: int = 20) -> DataFrame:
@@ -112,17 +112,46 @@ def dotplot(d: CellData, groupby: str, gene_key: str) -> DataFrame:
     return s.join(F.broadcast(d.group_sizes(groupby)), groupby).join(F.broadcast(sizes), gene_key).select(groupby, gene_key, (F.col("s") / n).alias("mean"), (F.col("k") / n).alias("fraction"))
 
 
-def gene_set_score(d: CellData, gene_key: str) -> DataFrame:
-    """Mean of each set minus the mean of all genes, per cell with counts."""
-    sizes = d.var.groupBy(gene_key).agg(F.count(F.lit(1)).alias("k"))
-    total = d.var.agg(F.count(F.lit(1)).alias("n"))
-    x = d.counts.join(d.var.select("gene", gene_key), "gene").groupBy("cell", gene_key).agg(F.sum("value").alias("s"))
-    w = F.sum("s").over(Window.partitionBy("cell"))
-    return x.withColumn("t", w).join(F.broadcast(sizes), gene_key).join(F.broadcast(total)).select("cell", gene_key, (F.col("s") / F.col("k") - F.col("t") / F.col("n")).alias("score"))
+def control_genes(d: CellData, gene_key: str, ctrl_size: int = 50, n_bins: int = 25, seed: int = 0) -> DataFrame:
+    """Control genes of each set: for each of its genes up to `ctrl_size` others of the same bin of mean expression.
+
+    Each set has its own hash order of the other genes of a bin, as a ring, from
+    which a gene of the set takes a run that starts at a hashed place: a random
+    sample for each gene, and work in proportion to sets times genes.
+    """
+    n = d.var.agg(F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy(F.round("mean", 9), "gene")
+    g = gene_moments(d, every=True).select("gene", "mean").withColumn("_i", F.row_number().over(order) - 1).join(F.broadcast(n))
+    bins = F.least(F.lit(n_bins), F.col("n"))
+    width = F.greatest(F.lit(1), F.floor(F.col("n") / bins))
+    g = g.select("gene", F.least(bins - 1, F.floor(F.col("_i") / width)).alias("bin")).join(d.var.select("gene", F.col(gene_key).alias("_own")), "gene")
+    sets = d.var.select(gene_key).where(F.col(gene_key).isNotNull()).distinct()
+    ring = Window.partitionBy(gene_key, "bin")
+    others = g.join(F.broadcast(sets)).where(~F.col("_own").eqNullSafe(F.col(gene_key)))
+    others = others.withColumn("_at", F.row_number().over(ring.orderBy(sample_order(seed, gene_key, "gene"), "gene")) - 1).select(gene_key, "bin", "gene", "_at", F.count(F.lit(1)).over(ring).alias("_m"))
+    sizes = others.groupBy(gene_key, "bin").agg(F.max("_m").alias("_m"))
+    own = g.where("_own is not null").withColumnRenamed("_own", gene_key).join(sizes, [gene_key, "bin"])
+    run = F.explode(F.sequence(F.lit(0), F.least(F.lit(ctrl_size), F.col("_m")).cast("int") - 1))
+    taken = own.select(gene_key, "bin", "_m", F.xxhash64(F.lit(seed), "gene").alias("_h"), run.alias("_j")).select(gene_key, "bin", F.pmod(F.pmod("_h", "_m") + F.col("_j"), "_m").cast("int").alias("_at")).distinct()
+    return taken.join(others.drop("_m"), [gene_key, "bin", "_at"]).select(gene_key, "gene")
+
+
+def gene_set_score(d: CellData, gene_key: str, ctrl_size: int = 50, n_bins: int = 25, seed: int = 0) -> DataFrame:
+    """Mean of each set minus the mean of its control genes, for every cell of obs and every set."""
+    own = d.var.where(F.col(gene_key).isNotNull()).select(gene_key, "gene")
+    of = Window.partitionBy(gene_key)
+    w = own.withColumn("w", 1 / F.count(F.lit(1)).over(of)).unionByName(control_genes(d, gene_key, ctrl_size, n_bins, seed).withColumn("w", -1 / F.count(F.lit(1)).over(of)))
+    sets = own.agg(F.sort_array(F.collect_set(gene_key)).alias("_sets"))
+    # one row for a gene: its weight in each set
+    w = w.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct(gene_key, "w"))).alias("_w")).join(F.broadcast(sets))
+    w = w.select("gene", F.transform("_sets", lambda k: F.coalesce(F.element_at("_w", k), F.lit(0.0))).alias("_w"))
+    x = d.obs.select("cell").join(d.counts, "cell", "left").join(F.broadcast(w), "gene", "left").join(F.broadcast(sets))
+    x = x.select("cell", "value", "_w", F.posexplode("_sets").alias("_i", gene_key))
+    return x.groupBy("cell", gene_key).agg(F.sum(F.coalesce(F.col("value") * F.get("_w", F.col("_i")), F.lit(0.0))).alias("score"))
 
 
 def phase_calls(scores: DataFrame, s: str, g2m: str, gene_key: str) -> DataFrame:
-    """Phase of each cell from its S and G2M scores; both at or below zero, or equal: G1."""
+    """Phase of each cell from its S and G2M scores; both at or below zero, or equal: G1. A set without genes in var scores 0."""
     x = scores.where(F.col(gene_key).isin(s, g2m)).groupBy("cell").agg(F.coalesce(F.max(F.when(F.col(gene_key) == s, F.col("score"))), F.lit(0.0)).alias("s_score"), F.coalesce(F.max(F.when(F.col(gene_key) == g2m, F.col("score"))), F.lit(0.0)).alias("g2m_score"))
     phase = F.when((F.col("s_score") > F.col("g2m_score")) & (F.col("s_score") > 0), "S").when((F.col("g2m_score") > F.col("s_score")) & (F.col("g2m_score") > 0), "G2M").otherwise("G1")
     return x.withColumn("phase", phase)
