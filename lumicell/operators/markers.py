@@ -165,13 +165,16 @@ def variance_partition(d: CellData, key: str) -> DataFrame:
     return t.select("gene", ratio(F.col("b") - mean2, F.col("s2") - mean2).alias("eta2"))
 
 
-def gene_correlation(d: CellData, genes: list) -> DataFrame:
-    """Pearson correlation of listed genes over all cells: pairs are met within cells only."""
-    x = d.counts.where(F.col("gene").isin(genes))
-    m = gene_moments(d.with_counts(x)).select("gene", "mean", "var", "n_cells")
+def gene_correlation(d: CellData, genes: list | None = None, n_top: int = 50) -> DataFrame:
+    """Pearson correlation over all cells of every pair of the listed genes, else of the n_top genes of largest variance."""
+    m = gene_moments(d, every=True).select("gene", "mean", "var", "n_cells")
+    m = m.where(F.col("gene").isin(genes)) if genes is not None else m.orderBy(F.desc(F.round("var", 9)), "gene").limit(n_top)
+    x = d.counts.join(d.obs.select("cell"), "cell", "left_semi").join(F.broadcast(m.select("gene")), "gene", "left_semi")
     y = x.select("cell", F.col("gene").alias("g2"), F.col("value").alias("v2"))
-    p = x.join(y, "cell").where("gene < g2").groupBy("gene", "g2").agg(F.sum(F.col("value") * F.col("v2")).alias("sxy"))
-    p = p.join(F.broadcast(m), "gene").join(F.broadcast(m.select(F.col("gene").alias("g2"), F.col("mean").alias("m2"), F.col("var").alias("s2"))), "g2")
+    met = x.join(y, "cell").where("gene < g2").groupBy("gene", "g2").agg(F.sum(F.col("value") * F.col("v2")).alias("sxy"))
+    # pairs that never meet in a cell have a product of 0, not no row
+    p = m.join(F.broadcast(m.select(F.col("gene").alias("g2"), F.col("mean").alias("m2"), F.col("var").alias("s2")))).where("gene < g2")
+    p = p.join(met, ["gene", "g2"], "left").fillna(0.0, ["sxy"])
     return p.select("gene", "g2", ratio(F.col("sxy") / F.col("n_cells") - F.col("mean") * F.col("m2"), F.sqrt(F.col("var") * F.col("s2"))).alias("r"))
 
 

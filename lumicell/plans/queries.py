@@ -490,7 +490,7 @@ def variance_partition(spark, d):
     "r",
 )
 def correlation_matrix(spark, d):
-    return markers.gene_correlation(tables.from_tables(spark, d), list(range(40)))
+    return markers.gene_correlation(tables.from_tables(spark, d))
 
 
 @query(

@@ -43,3 +43,13 @@ def test_control_sample_has_the_asked_size_and_no_gene_of_the_set(spark):
     sets = ["s" if g == 3 else "r" for g in range(20)]
     got = [r.gene for r in markers.control_genes(data(spark, x, sets=sets), "gset", ctrl_size=4, n_bins=2).where("gset = 's'").collect()]
     assert len(got) == len(set(got)) == 4 and 3 not in got
+
+
+def test_correlation_has_every_pair_of_the_genes_of_largest_variance(spark):
+    x = sparse(15, 8, 3)
+    x[:, 0], x[:, 1] = [1] * 5 + [0] * 10, [0] * 10 + [2] * 5  # never in one cell
+    got = {(r.gene, r.g2): r.r for r in markers.gene_correlation(data(spark, x), n_top=6).collect()}
+    top = sorted(sorted(range(8), key=lambda g: (-round(x[:, g].var(), 9), g))[:6])
+    want = np.corrcoef(x[:, top].T)
+    assert {0, 1} <= set(top) and len(got) == 15
+    assert all(abs(got[a, b] - want[top.index(a), top.index(b)]) < 1e-9 for a, b in got)
