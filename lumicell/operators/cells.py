@@ -110,20 +110,26 @@ def gene_moments(d: CellData, by: tuple[str, ...] = (), every: bool = False) ->
     return s.withColumns({"mean": F.col("s1") / n, "var": variance(F.col("s1"), F.col("s2"), n), "var1": variance(F.col("s1"), F.col("s2"), n, 1)})
 
 
-def scale(d: CellData, genes: DataFrame, max_value: float = 10.0) -> DataFrame:
-    """z-scores (population deviation, clipped) of all cells for the chosen genes.
+def scale(d: CellData, genes: DataFrame | None = None, max_value: float = 10.0) -> DataFrame:
+    """z-scores (population deviation, clipped) of all genes of var, or of the chosen genes.
 
-    The grid of cells by chosen genes is made by exploding the list of genes, so
-    choose few; only a gene's moments need the counts.
+    Of all genes: each stored value's z, and for each gene one row without a cell,
+    which is the z of all its cells that have no row. Of chosen genes: the grid of
+    cells by genes, made by exploding the list of genes, so choose few.
     """
+    clip = lambda z: F.greatest(F.lit(-max_value), F.least(F.lit(max_value), z)).alias("z")
+    sd = F.when(F.col("var") > 0, F.sqrt("var")).otherwise(1.0)
+    if genes is None:
+        m = gene_moments(d, every=True).select("gene", "mean", sd.alias("_sd"))
+        stored = d.counts.join(d.obs.select("cell"), "cell", "left_semi").join(m, "gene").select("cell", "gene", clip((F.col("value") - F.col("mean")) / F.col("_sd")))
+        cell = F.lit(None).cast(d.counts.schema["cell"].dataType).alias("cell")
+        return stored.unionByName(m.select(cell, "gene", clip(-F.col("mean") / F.col("_sd"))))
     few = d.with_counts(d.counts.join(F.broadcast(genes), "gene", "left_semi"))
     m = gene_moments(few).select("gene", "mean", "var")
     listed = genes.agg(F.sort_array(F.collect_set("gene")).alias("g"))
     grid = d.obs.select("cell").join(F.broadcast(listed)).select("cell", F.explode("g").alias("gene"))
     x = grid.join(few.counts, ["cell", "gene"], "left").join(F.broadcast(m), "gene", "left")
-    sd = F.when(F.col("var") > 0, F.sqrt("var")).otherwise(1.0)
-    z = (F.coalesce("value", F.lit(0.0)) - F.coalesce("mean", F.lit(0.0))) / F.coalesce(sd, F.lit(1.0))
-    return x.select("cell", "gene", F.greatest(F.lit(-max_value), F.least(F.lit(max_value), z)).alias("z"))
+    return x.select("cell", "gene", clip((F.coalesce("value", F.lit(0.0)) - F.coalesce("mean", F.lit(0.0))) / F.coalesce(sd, F.lit(1.0))))
 
 
 def regress_out(d: CellData, covariate: str) -> DataFrame:

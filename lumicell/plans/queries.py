@@ -291,8 +291,7 @@ for _method, _score in (("variance", "v0"), ("dispersion", "v0 / mean"), ("cv",
     "z",
 )
 def scale(spark, d):
-    x = tables.from_tables(spark, d)
-    return cells.scale(x, x.counts.where("gene < 4").select("gene").distinct())
+    return cells.scale(tables.from_tables(spark, d))
 
 
 @query(

@@ -53,3 +53,16 @@ def test_correlation_has_every_pair_of_the_genes_of_largest_variance(spark):
     want = np.corrcoef(x[:, top].T)
     assert {0, 1} <= set(top) and len(got) == 15
     assert all(abs(got[a, b] - want[top.index(a), top.index(b)]) < 1e-9 for a, b in got)
+
+
+def test_scale_gives_all_genes_and_the_line_of_zeros(spark):
+    x = sparse(15, 8, 1)
+    rows = cells.scale(data(spark, x), max_value=2.0).collect()
+    sd = x.std(0)
+    want = np.clip((x - x.mean(0)) / np.where(sd > 0, sd, 1), -2, 2)
+    zero = {r.gene: r.z for r in rows if r.cell is None}
+    stored = {(r.cell, r.gene): r.z for r in rows if r.cell is not None}
+    assert len(zero) == 8 and len(stored) == (x > 0).sum()
+    assert np.allclose([[stored.get((i, g), zero[g]) for g in range(8)] for i in range(15)], want)
+    chosen = {(r.cell, r.gene): r.z for r in cells.scale(data(spark, x), spark.createDataFrame([(2,), (5,)], "gene bigint"), 2.0).collect()}
+    assert len(chosen) == 30 and all(abs(z - want[i, g]) < 1e-9 for (i, g), z in chosen.items())
