@@ -158,11 +158,13 @@ def pseudobulk(d: CellData, groupby: list[str], agg: str = "mean") -> DataFrame:
     return aggregate(CellData(d.counts, d.obs.select("cell", key), d.var), "group", agg)
 
 
-def rank_genes(d: CellData, method: str = "variance", n_top: int = 50) -> DataFrame:
-    m = gene_moments(d)
-    by = {"variance": F.col("var"), "mean": F.col("mean"), "dispersion": ratio(F.col("var"), F.col("mean")), "dropout": 1 - F.col("nnz") / F.col("n_cells"), "cv": ratio(F.sqrt("var"), F.col("mean"))}[method]
-    top = m.select("gene", F.round(by, 9).alias("score")).orderBy(F.desc_nulls_last("score"), "gene").limit(n_top)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "gene")))
+def rank_genes(d: CellData, method: str = "variance", n_top: int | None = None) -> DataFrame:
+    """All genes of var by a measure (n_top: only the first); where the mean is 0, dispersion and cv are 0."""
+    m = gene_moments(d, every=True)
+    mean = F.when(F.col("mean") != 0, F.col("mean")).otherwise(1.0)
+    by = {"variance": F.col("var"), "mean": F.col("mean"), "dispersion": F.col("var") / mean, "dropout": 1 - F.col("nnz") / F.col("n_cells"), "cv": F.sqrt("var") / mean}[method]
+    ranked = m.select("gene", F.round(by, 9).alias("score")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "gene")))
+    return ranked if n_top is None else ranked.where(F.col("rank") <= n_top)
 
 
 def sample_order(seed: int, *columns: str) -> Column:

@@ -10,7 +10,7 @@ from ..model import CellData
 from .cells import gene_moments, sample_order
 
 
-def hvg_seurat(d: CellData, n_top: int = 50, n_bins: int = 20) -> DataFrame:
+def hvg_seurat(d: CellData, n_top: int = 2000, n_bins: int = 20) -> DataFrame:
     """Dispersion of log-normalised values, standardised within bins of equal width of log mean."""
     m = gene_moments(d).where("mean > 0").select("gene", "mean", F.log(ratio(F.col("var"), F.col("mean"))).alias("disp"), F.log1p("mean").alias("lm"))
     lim = m.agg(F.min("lm").alias("lo"), F.max("lm").alias("hi"))
@@ -21,7 +21,7 @@ def hvg_seurat(d: CellData, n_top: int = 50, n_bins: int = 20) -> DataFrame:
     return b.join(F.broadcast(bins), "bin").select("gene", "bin", F.round(z, 6).alias("norm_disp")).orderBy(F.desc_nulls_last("norm_disp"), "gene").limit(n_top)
 
 
-def hvg_cell_ranger(d: CellData, n_top: int = 50, n_bins: int = 20) -> DataFrame:
+def hvg_cell_ranger(d: CellData, n_top: int = 2000, n_bins: int = 20) -> DataFrame:
     """log10 dispersion against the median and deviation of its bin of mean ranks."""
     m = gene_moments(d).where("mean > 0 and var1 > 0").select("gene", "mean", F.log10(F.col("var1") / F.col("mean")).alias("disp"))
     b = m.withColumn("bin", F.ntile(n_bins).over(Window.orderBy("mean", "gene")) - 1)

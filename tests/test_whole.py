@@ -66,3 +66,21 @@ def test_scale_gives_all_genes_and_the_line_of_zeros(spark):
     assert np.allclose([[stored.get((i, g), zero[g]) for g in range(8)] for i in range(15)], want)
     chosen = {(r.cell, r.gene): r.z for r in cells.scale(data(spark, x), spark.createDataFrame([(2,), (5,)], "gene bigint"), 2.0).collect()}
     assert len(chosen) == 30 and all(abs(z - want[i, g]) < 1e-9 for (i, g), z in chosen.items())
+
+
+def test_rank_genes_ranks_all_genes_of_var(spark):
+    x = sparse(15, 60, 2)
+    d = data(spark, x)
+    mean = np.where(x.mean(0) > 0, x.mean(0), 1)
+    for method, score in {"variance": x.var(0), "mean": x.mean(0), "dispersion": x.var(0) / mean, "dropout": (x == 0).mean(0), "cv": x.std(0) / mean}.items():
+        got = [r.gene for r in cells.rank_genes(d, method).orderBy("rank").collect()]
+        assert got == sorted(range(60), key=lambda g: (-round(score[g], 9), g)), method
+    assert cells.rank_genes(d, "dropout").where("rank = 1").first().gene == 59
+    assert cells.rank_genes(d, n_top=3).count() == 3
+
+
+def test_variable_genes_are_not_cut_at_50(spark):
+    x = sparse(40, 90, 4)
+    d = data(spark, x)
+    assert markers.hvg_seurat(d).count() == (x.sum(0) > 0).sum() > 50
+    assert markers.hvg_cell_ranger(d).count() == (x.var(0) > 0).sum() > 50
