@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,15 +133,43 @@ def scale(d: CellData, genes: DataFrame | None = None, max_value: float = 10.0)
     return x.select("cell", "gene", clip((F.coalesce("value", F.lit(0.0)) - F.coalesce("mean", F.lit(0.0))) / F.coalesce(sd, F.lit(1.0))))
 
 
-def regress_out(d: CellData, covariate: str) -> DataFrame:
-    """Slope, intercept and residual variance of each gene on one column of obs, zeros counted."""
-    c = d.obs.select("cell", F.col(covariate).cast("double").alias("x"))
-    t = c.agg(F.count("x").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
-    g = d.counts.join(c, "cell").groupBy("gene").agg(F.sum("value").alias("sy"), F.sum(F.col("value") * F.col("x")).alias("sxy"), F.sum(F.col("value") * F.col("value")).alias("syy"))
-    n = F.col("n")
-    sxx, sxy, syy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("sxy") - F.col("sx") * F.col("sy") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
-    out = g.join(F.broadcast(t)).withColumn("slope", ratio(sxy, sxx))
-    return out.select("gene", "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / n).alias("intercept"), ((syy - F.col("slope") * sxy) / n).alias("residual_var"))
+def regress_coefficients(d: CellData, covariates: list[str]) -> DataFrame:
+    """Intercept, residual variance and a slope for each covariate (numbers in obs) of each gene with counts, zeros counted.
+
+    Normal equations of standardised covariates: their k x k matrix is solved on
+    the driver, where one row is collected. Constant covariates get slope 0.
+    """
+    if not covariates:
+        raise ValueError("covariates must not be empty")
+    c = d.obs.select("cell", *[F.col(k).cast("double").alias(f"_x{i}") for i, k in enumerate(covariates)])
+    xs = [f"_x{i}" for i in range(len(covariates))]
+    t = c.agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m{x}") for x in xs], *[F.stddev_pop(x).alias(f"s{x}") for x in xs]).first()
+    mean, sd = [t[f"m{x}"] or 0.0 for x in xs], [t[f"s{x}"] or 0.0 for x in xs]
+    flat = [s <= 1e-12 * abs(m) for m, s in zip(mean, sd)]
+    c = c.select("cell", *[(F.lit(0.0) if f else (F.col(x) - m) / s).alias(x) for x, m, s, f in zip(xs, mean, sd, flat)])
+    gram = c.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a in xs for b in xs]).first()
+    inverse = np.linalg.pinv(np.array([v or 0.0 for v in gram]).reshape(len(xs), -1), hermitian=True)
+    g = d.counts.join(c, "cell").groupBy("gene").agg(F.sum("value").alias("sy"), F.sum(F.col("value") * F.col("value")).alias("syy"), *[F.sum(F.col("value") * F.col(x)).alias(f"sy{x}") for x in xs])
+    b = [sum((float(w) * F.col(f"sy{x}") for w, x in zip(row, xs)), F.lit(0.0)) for row in inverse]  # per deviation of the covariate
+    slopes = [F.lit(0.0) if f else bi / s for bi, s, f in zip(b, sd, flat)]
+    n = float(t["n"])
+    explained = sum((bi * F.col(f"sy{x}") for bi, x in zip(b, xs)), F.lit(0.0))
+    return g.select(
+        "gene", (F.col("sy") / n - sum((s * m for s, m in zip(slopes, mean)), F.lit(0.0))).alias("intercept"), ((F.col("syy") - F.col("sy") * F.col("sy") / n - explained) / n).alias("residual_var"),
+        *[s.alias(f"slope_{k}") for k, s in zip(covariates, slopes)],
+    )
+
+
+def regress_out(d: CellData, covariates: list[str]) -> DataFrame:
+    """Corrected values (residual plus intercept) of the stored pairs, with the gene's slopes.
+
+    A cell without the gene has the value -(sum of slope times covariate) there;
+    genes without counts stay 0.
+    """
+    x = d.counts.join(d.obs.select("cell", *[F.col(k).cast("double").alias(f"_x{i}") for i, k in enumerate(covariates)]), "cell")
+    x = x.join(regress_coefficients(d, covariates).drop("intercept", "residual_var"), "gene")
+    fit = sum((F.col(f"slope_{k}") * F.col(f"_x{i}") for i, k in enumerate(covariates)), F.lit(0.0))
+    return x.select("cell", "gene", (F.col("value") - fit).alias("value"), *[f"slope_{k}" for k in covariates])
 
 
 def aggregate(d: CellData, groupby: str, method: str = "sum") -> DataFrame:

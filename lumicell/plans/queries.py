@@ -7,6 +7,7 @@ another order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -301,7 +302,17 @@ def scale(spark, d):
     "slope intercept residual_var",
 )
 def regress_out(spark, d):
-    return cells.regress_out(tables.from_tables(spark, d), "depth").withColumn("slope", F.col("slope") * 1e6)
+    x = cells.regress_coefficients(tables.from_tables(spark, d), ["depth"])
+    return x.select("gene", (F.col("slope_depth") * 1e6).alias("slope"), "intercept", "residual_var")
+
+
+@query()
+def regress_out_values(spark, d):
+    x = tables.from_tables(spark, d)
+    total = x.counts.groupBy("cell").agg(F.sum("value").alias("total"))
+    obs = x.obs.join(total, "cell", "left").fillna(0.0, ["total"])
+    # slopes times 1e6, since values are rounded to six digits
+    return cells.regress_out(replace(x, obs=obs), ["depth", "total"]).withColumns({k: F.col(k) * 1e6 for k in ("slope_depth", "slope_total")})
 
 
 @query(f"{_DATA}--\nSELECT cell, cluster FROM obs ORDER BY md5('7:' || cell), cell LIMIT 100", "cell cluster")

@@ -84,3 +84,18 @@ def test_variable_genes_are_not_cut_at_50(spark):
     d = data(spark, x)
     assert markers.hvg_seurat(d).count() == (x.sum(0) > 0).sum() > 50
     assert markers.hvg_cell_ranger(d).count() == (x.var(0) > 0).sum() > 50
+
+
+def test_regress_out_corrects_values_for_several_covariates(spark):
+    x = sparse(40, 6, 5)
+    d = data(spark, x)
+    obs = np.array([[r.u, r.v] for r in sorted(d.obs.collect())])
+    design = np.c_[np.ones(40), obs]
+    want = x - obs @ np.linalg.lstsq(design, x, rcond=None)[0][1:]
+    rows = cells.regress_out(d, ["u", "v"]).collect()
+    assert len(rows) == (x > 0).sum() and all(abs(r.value - want[r.cell, r.gene]) < 1e-9 for r in rows)
+    slopes = {r.gene: (r.slope_u, r.slope_v) for r in rows}
+    assert all(abs(-np.dot(obs[i], slopes.get(g, (0, 0))) - want[i, g]) < 1e-9 for i in range(40) for g in range(6) if not x[i, g])
+    twice = cells.regress_out(d.__class__(d.counts, d.obs.withColumn("w", 2 * F.col("u")), d.var), ["u", "w"]).collect()
+    once = {(r.cell, r.gene): r.value for r in cells.regress_out(d, ["u"]).collect()}
+    assert all(abs(r.value - once[r.cell, r.gene]) < 1e-9 for r in twice)
