@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,9 +74,15 @@ def rank_genes_groups(d: CellData, groupby: str, n_genes: int = 100) -> DataFram
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n_genes).select(groupby, "rank", "gene", "zr", "log2fc", "pval", "padj")
 
 
+def _group_moments(d: CellData, key: str) -> DataFrame:
+    """Moments of each gene with counts in each group, in groups without the gene too."""
+    counted = d.counts.select("gene").distinct()
+    return gene_moments(replace(d, var=counted), (key,), every=True)
+
+
 def welch(d: CellData, groupby: str) -> DataFrame:
     """Welch t of each gene and group against the rest, from moments."""
-    g = gene_moments(d, (groupby,)).select(groupby, "gene", "n_cells", "s1", "s2", "mean", "var1")
+    g = _group_moments(d, groupby).select(groupby, "gene", "n_cells", "s1", "s2", "mean", "var1")
     t = d.counts.groupBy("gene").agg(F.sum("value").alias("t1"), F.sum(F.col("value") * F.col("value")).alias("t2")).join(F.broadcast(d.n_cells().withColumnRenamed("n_cells", "n")))
     x = g.join(t, "gene")
     no = F.col("n") - F.col("n_cells")
@@ -179,8 +187,8 @@ def gene_correlation(d: CellData, genes: list | None = None, n_top: int = 50) ->
 
 
 def perturbation_signature(d: CellData, key: str, reference: str) -> DataFrame:
-    """Mean shift and log2 fold change of each gene and condition against the reference."""
-    m = gene_moments(d, (key,)).select(key, "gene", "mean", "var1", "n_cells")
+    """Mean shift and log2 fold change of each gene with counts and each condition against the reference."""
+    m = _group_moments(d, key).select(key, "gene", "mean")
     r = m.where(F.col(key) == reference).select("gene", F.col("mean").alias("rm"))
     x = m.where(F.col(key) != reference).join(r, "gene", "left").fillna(0.0, ["rm"])
     return x.select(key, "gene", (F.col("mean") - F.col("rm")).alias("shift"), F.log2((F.col("mean") + 1e-9) / (F.col("rm") + 1e-9)).alias("log2fc"))
@@ -215,7 +223,9 @@ def proportions(obs: DataFrame, groupby: str, condition: str) -> DataFrame:
 def composition(obs: DataFrame, groupby: str, condition: str, reference: str) -> DataFrame:
     """Proportion, fold and two-proportion z of each condition against the reference."""
     sizes = obs.groupBy(condition).agg(F.count(F.lit(1)).alias("n"))
-    x = obs.groupBy(condition, groupby).agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(sizes), condition)
+    x = obs.groupBy(condition, groupby).agg(F.count(F.lit(1)).alias("k"))
+    # every group in every condition: one that a condition lacks has 0 cells there
+    x = sizes.join(F.broadcast(obs.select(groupby).distinct())).join(x, [condition, groupby], "left").fillna(0, ["k"])
     r = x.where(F.col(condition) == reference).select(groupby, F.col("k").alias("rk"), F.col("n").alias("rn"))
     y = x.where(F.col(condition) != reference).join(F.broadcast(r), groupby)
     p, q = F.col("k") / F.col("n"), F.col("rk") / F.col("rn")

@@ -99,3 +99,22 @@ def test_regress_out_corrects_values_for_several_covariates(spark):
     twice = cells.regress_out(d.__class__(d.counts, d.obs.withColumn("w", 2 * F.col("u")), d.var), ["u", "w"]).collect()
     once = {(r.cell, r.gene): r.value for r in cells.regress_out(d, ["u"]).collect()}
     assert all(abs(r.value - once[r.cell, r.gene]) < 1e-9 for r in twice)
+
+
+def test_groups_without_a_gene_or_cell_type_have_rows(spark):
+    x = sparse(12, 4, 6)
+    x[:, 0] = [0, 3] * 6  # only in group r
+    x[:, 1] = [2, 0] * 6  # only in group t
+    groups = ["t", "r"] * 6
+    d = data(spark, x, groups)
+    t, r = x[0::2], x[1::2]
+    shift = {g.gene: g.shift for g in markers.perturbation_signature(d, "cluster", "r").collect()}
+    assert set(shift) == {0, 1, 2} and all(abs(shift[g] - (t[:, g].mean() - r[:, g].mean())) < 1e-9 for g in shift)
+    w = {(g.cluster, g.gene): g for g in markers.welch(d, "cluster").collect()}
+    assert len(w) == 6 and w["t", 0].mean_in == 0 and w["r", 1].mean_in == 0
+    se = np.sqrt(t[:, 2].var(ddof=1) / 6 + r[:, 2].var(ddof=1) / 6)
+    assert abs(w["t", 2].t - (t[:, 2].mean() - r[:, 2].mean()) / se) < 1e-9
+    obs = spark.createDataFrame([("t", "A"), ("t", "B"), ("r", "A"), ("r", "C")], "cluster string, kind string")
+    rows = {g.kind: g for g in markers.composition(obs, "kind", "cluster", "r").collect()}
+    assert set(rows) == {"A", "B", "C"} and rows["C"].proportion == 0 and rows["C"].fold == 0 and rows["C"].z < 0
+    assert rows["B"].proportion == 0.5 and rows["B"].fold is None and rows["B"].z > 0
