@@ -6,6 +6,10 @@ stay, with the columns of documents; the last gives the pieces of sequences.
 Between stages the rows are written to the shared folder as Parquet and reread,
 so that a stage's several passes don't run its predecessors again and a lost
 executor costs one stage's tasks at most.
+
+What holds for every stage: each row is judged by itself, also where doc_id is
+null or repeats; other columns are carried along, whatever their names; very
+long texts are read whole; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -19,27 +23,37 @@ from lumicell.llm.common import crc_mod, saved, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or with no language of probability 0.5 go."""
+    """Documents with null text, without letters or with no language of probability 0.5 go.
+
+    The model is learned from the input's own rows with a lang; if there are
+    none, only documents without letters go.
+    """
     return language_id.keep_identified(docs, language_id.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1)))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts the largest doc_id stays; null counts as the smallest, and of rows that share it one stays.
+
+    Null and empty texts are equal.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of links the smallest doc_id stays."""
+    """Of each component of links the smallest doc_id stays; null counts as the largest, ties go by the text's hash.
+
+    Documents without words link with nothing and stay.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts and items match nothing."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """Sequences of at most 1024 tokens; a null or empty text has its end id alone."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
