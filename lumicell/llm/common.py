@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one numpy or model pass takes at most (a longer row goes alone).
@@ -24,27 +26,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where it is unset, as in a local session, a temporary folder is made and
-    set for the session; on a cluster the setting is taken as it is.
+    Where it is unset and Spark runs inside this process, as in tests, a
+    temporary folder is made; on a cluster that would be a disk of its own on
+    each machine, so there an unset folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lumicell-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    own = f"{shared_dir(spark)}/lumicell/{spark.sparkContext.applicationId}"
+    fs, where = _hadoop(spark, own)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write to the shared folder as Parquet and read back: cuts the lineage,
-    survives lost executors and is columnar, unlike checkpoint()."""
+    survives lost executors and is columnar, unlike checkpoint().
+
+    The table goes when discard() is called or the application ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumicell/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lumicell_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing still to be run reads."""
+    for df in tables:
+        path = getattr(df, "_lumicell_path", None)
+        if path:
+            fs, where = _hadoop(df.sparkSession, path)
+            fs.delete(where, True)
 
 
 def ascii_lower(col):
@@ -81,28 +114,68 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Keys up to which a list of rows to drop is broadcast: about 64 MB.
 BROADCAST_KEYS = 1_000_000
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of docs whose key columns (those of `dropped`) are not in `dropped`.
+    """Rows of docs whose key columns (those of `dropped`) are not in `dropped`; null keys are equal to each other.
 
-    The keys are broadcast only if they are few; else both sides shuffle.
+    Rows that share their keys go or stay together.  The keys are broadcast
+    only if they are few; else both sides shuffle.
     """
     dropped = saved(dropped.distinct())
     small = dropped.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(dropped) if small else dropped.hint("merge"), dropped.columns, "left_anti")
+    dropped = dropped.select([F.col(c).alias(f"_drop_{c}") for c in dropped.columns])
+    on = reduce(Column.__and__, [docs[c.removeprefix("_drop_")].eqNullSafe(dropped[c]) for c in dropped.columns])
+    return docs.join(F.broadcast(dropped) if small else dropped.hint("merge"), on, "left_anti")
+
+
+#: The threshold on a hash is taken out of 63 bits, so it stays above 0 for any number of rows.
+_HASH_RANGE = 1 << 63
+
+
+def sample_threshold(rows: int, n: int) -> int:
+    """Hash values (0 to 2**63 - 1) below this make a sample of about `rows` of n rows."""
+    return _HASH_RANGE - 1 if n <= rows else max(1, rows * _HASH_RANGE // n)
+
+
+def bounded_sample(rows: DataFrame, limit: int, *key: str, known: int | None = None) -> DataFrame:
+    """About `limit` rows, or all if there are no more, written once.
+
+    Drawn by a hash of the key columns, so that the same rows come on any
+    cluster.  `known` is the number of rows where it is known already.  Whole
+    rows that repeat very often could bring more than twice the limit; then the
+    sample is cut there.  A non-empty frame never gives an empty sample: that is
+    an error.
+    """
+    n = rows.count() if known is None else known
+    if n > limit:
+        rows = rows.where(F.xxhash64(*key).bitwiseAND(F.lit(_HASH_RANGE - 1)) < F.lit(sample_threshold(limit, n)))
+    out = saved(rows)
+    if n > limit:
+        got = out.count()
+        if got == 0:
+            raise RuntimeError(f"a sample of {limit} of {n} rows came out empty")
+        if got > 2 * limit:
+            return saved(out.limit(2 * limit))
+    return out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, fold, rows: int) -> DataFrame:
-    """About `rows` rows of (doc_id, text, label) with a label, in the fold.
+    """About `rows` rows of (doc_id, text, label) with a label, in the fold, written once.
 
-    The sample is drawn from the narrow labels by a hash of doc_id and then
-    broadcast: its size is bounded by `rows`, and texts don't shuffle.
+    The sample is drawn from the narrow labels and then broadcast: its size is
+    bounded by `rows`, texts don't shuffle, and the documents are read once.
     """
-    known = labels.where(F.col(column).isNotNull() & fold).select("doc_id", F.col(column).alias("label"))
-    n = known.count()
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & fold).select("doc_id", F.col(column).alias("label"))
+    known = bounded_sample(known, rows, "doc_id")
+    return saved(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))

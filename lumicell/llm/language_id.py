@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import bounded_sample, discard, slices, texts
 
 BUCKETS = 1 << 14
 #: Labelled rows that the model is fitted on, about.
@@ -29,7 +29,8 @@ FIT_ROWS = 8000
 TEMPER = 40.0
 UNDECIDED = "und"
 
-_ALPHA = np.array([chr(c).isalpha() for c in range(0x32000)] + [True])
+#: Letters by code point; beyond the last one there are none.
+_ALPHA = np.array([chr(c).isalpha() for c in range(0x32400)] + [False])
 _M = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
@@ -90,15 +91,13 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
-    """Fit on about `fit_rows` rows of (doc_id, text, lang), taken by a hash of doc_id.
+    """Fit on about `fit_rows` rows of (doc_id, text, lang), taken by a hash of doc_id and text.
 
-    Rows without language or text don't count.  Without any row there is no
-    language, and every text is undecided.
+    Rows without language or text don't count; repeated rows count each, very
+    long texts whole.  Without any row there is no language, and every text is
+    undecided.
     """
-    rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    n = rows.count()
-    if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(fit_rows / n * (1 << 20)))
+    rows = bounded_sample(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), fit_rows, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -116,6 +115,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int64()), pa.array(c, pa.int64())], ["lang", "bucket", "n"])
 
     got = rows.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    discard(rows)
     languages = sorted(got["lang"].unique())
     at = {x: k for k, x in enumerate(languages)}
     table, docs = np.zeros((BUCKETS, len(languages))), np.ones(len(languages))
@@ -128,7 +128,13 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Adds lang_pred and score to doc_id and text; `und` and 0 where a text is null or has no letter."""
+    """doc_id, lang_pred and score of every row of (doc_id, text).
+
+    `und` and 0 where a text is null or has no letter; ties go to the language
+    first in order.  A very long text is read whole.  Rows that repeat, also
+    with the same or no doc_id, stay apart; an empty table gives an empty
+    result; other columns are ignored, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,12 +150,22 @@ LEAST_SCORE = 0.5
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs whose language is decided, with probability `least` or more, with all their columns."""
+    """The rows of docs whose language is decided, with probability `least` or more, with all their columns.
+
+    Null texts and texts without a letter go.  Each row is judged by its own
+    text, whatever its doc_id (null, repeated).  A model without languages
+    rejects only texts without letters.  An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 64):
-            lang, p = shared.value.score(texts(b.column("text")))
-            yield b.filter(pa.array([x != UNDECIDED and s >= least for x, s in zip(lang, p)], pa.bool_()))
+            batch = texts(b.column("text"))
+            if shared.value.languages:
+                lang, p = shared.value.score(batch)
+                keep = [x != UNDECIDED and s >= least for x, s in zip(lang, p)]
+            else:
+                keep = [len(letters(t)) > 1 for t in batch]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -34,6 +34,7 @@ _STEP = [_U64(x) for x in (_rng.integers(1, 2**63, 16, dtype=np.uint64) | _U64(1
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
+    # fixed values: the multipliers of the published splitmix64 generator
     x = x ^ (x >> _U64(30))
     x = x * _U64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> _U64(27))
@@ -61,6 +62,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base of the hash, and of its inverse."""
+    return _POWERS.get(n)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (len + 1) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
