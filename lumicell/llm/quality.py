@@ -4,8 +4,9 @@ Tokens are runs of letters and digits (A-Z lower-cased) and runs of other
 ASCII; each word of capitals adds a token that says so.  A token's vector is
 the sum of the sparse random index vectors of its neighbours within CONTEXT
 places, scaled to length one, in a table of BUCKETS hashed rows.  A document is
-the mean of its tokens' vectors and of their own index vectors, with two
-features of size; a tanh layer and a logistic output score it.  The logit is
+the mean of its tokens' vectors and of their own index vectors, the share of
+tokens whose vector comes again LAGS places on (means alone don't see words
+that are repeated in a row), and two features of size; a tanh layer and a logistic output score it.  The logit is
 divided by a temperature fitted on rows kept apart.
 
 Scale.  Vectors and network are fitted on a bounded sample; at most
@@ -24,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import slices
+from .common import bounded_sample, discard, slices
 
 BUCKETS, WIDTH, CONTEXT, NONZERO = 1 << 14, 24, 2, 4
+#: Distances at which a token's vector is compared with a later one.
+LAGS = (1, 2, 3, 4, 6, 8)
+FEATURES = 2 * WIDTH + len(LAGS) + 2
 HIDDEN = 24
 #: Labelled rows that the model is fitted on, about, and the partitions they are read in.
 FIT_ROWS, FIT_PARTITIONS = 16_000, 6
@@ -72,7 +76,12 @@ def pooled(column: pa.Array, table: np.ndarray) -> np.ndarray:
     bucket, off = token_buckets(column)
     n = np.diff(off).astype(np.float32)
     mean = _sums(table[bucket], off) / np.maximum(n, 1)[:, None]
-    return np.concatenate([mean, np.log1p(n)[:, None] / 8, (n == 0)[:, None]], axis=1).astype(np.float64)
+    of = np.repeat(np.arange(len(n)), np.diff(off))
+    again = np.zeros((len(n), len(LAGS)))
+    for c, k in enumerate(LAGS):
+        same = (bucket[k:] == bucket[:-k]) & (of[k:] == of[:-k])
+        again[:, c] = np.bincount(of[k:][same], minlength=len(n)) / np.maximum(n - k, 1)
+    return np.concatenate([mean, again, np.log1p(n)[:, None] / 8, (n == 0)[:, None]], axis=1).astype(np.float64)
 
 
 @dataclass
@@ -115,15 +124,14 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
-    """Fit on about `fit_rows` rows of (doc_id, text, label), taken by a hash of doc_id.
+    """Fit on about `fit_rows` rows of (doc_id, text, label), taken by a hash of doc_id and text.
 
-    Rows with a null label don't count.  Without any row every score is 0.5.
+    Rows with a null label don't count; null texts count as empty, very long
+    ones whole, repeated rows each.  Without any row every score is 0.5.
     """
     rows = labelled.where("label is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("double").alias("label"))
-    n = rows.count()
-    if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(fit_rows / n * (1 << 20)))
-    rows = rows.coalesce(FIT_PARTITIONS)
+    sample = bounded_sample(rows, fit_rows, "doc_id", "text")
+    rows = sample.coalesce(FIT_PARTITIONS)  # of the few sampled rows, not of the corpus
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, WIDTH))
@@ -151,9 +159,9 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
     got = rows.mapInArrow(features, "doc_id bigint, label double, x binary").toPandas().sort_values("doc_id", kind="stable")
-    width = 2 * WIDTH + 2
+    discard(sample)
     if not len(got):
-        return QualityModel(table, np.zeros(width), np.ones(width), [np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1.0)
+        return QualityModel(table, np.zeros(FEATURES), np.ones(FEATURES), [np.zeros((FEATURES, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1.0)
     x, y = np.array([np.frombuffer(r) for r in got["x"]]), got["label"].to_numpy()
     mean, scale = x.mean(0), x.std(0) + 1e-3
     z = (x - mean) / scale
@@ -169,7 +177,13 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
 
 
 def predict(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id and score, the calibrated probability of label 1; null counts as the empty text."""
+    """doc_id and score, the calibrated probability of label 1, of every row of (doc_id, text).
+
+    A null text counts as empty; a very long one is read whole.  Rows that
+    repeat, also with the same or no doc_id, stay apart and get equal scores
+    for equal texts.  An empty table gives an empty result; other columns are
+    ignored, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
