@@ -2,27 +2,33 @@
 
 The base spans come from patterns with checks (BASE_KINDS).  The field then
 labels the tokens of a document that hold a digit or an at sign and lie outside
-base spans.  Its variables are those tokens and the tokens of base spans, whose
-labels are observed.  Factors are: shape features of a token, its neighbour in
-the text (chain), and its next token with the same or similar content, the same
-digits or the same word, however far (skip chain).  Marginals come from damped
+base spans, as one of the base kinds, as `secret` (keys, passwords) or as none.
+Its variables are those tokens and the tokens of base spans, whose labels are
+observed.  Factors are: features of a token's shape and of the word before it,
+its neighbour in the text (chain), and its next token with the same or similar
+content, however far (skip chain): the same word, or the same last digits, also
+of a number that is written as several tokens.  Marginals come from damped
 loopy sum-product message passing, for all tokens of a batch at once.  A free
-token becomes a span if its likeliest kind is not "none", has at least
-CONFIDENCE, and the token shares its content with a token of a base span: so
-the number "(262) 555-3752" is found again where its country code is missing,
-while plain numbers stay as they are.
-
-Weights are learned by pseudo-likelihood on a bounded sample whose labels are
-the base spans; shape features are dropped at random from tokens that have a
-twin, so that the skip factors carry weight.
+token whose likeliest kind is not none and has at least CONFIDENCE becomes a
+span; neighbours of a kind that is written with spaces become one.  So a phone
+number is found where the pattern failed because another number follows it, or
+where its country code is missing, and plain numbers stay as they are.
+
+Weights are learned by pseudo-likelihood on a bounded sample.  Its labels are
+the base spans; for secrets, values that are assigned to a name such as token
+or password; and for phones also matches that failed only since they ran on
+into another base span.  Pieces come a second time without the first token of
+phones (the country code), and features are dropped at random while learning,
+so that context and skip factors carry weight beside the shape.
 
 Scale.  A document is handled by itself: one pass, no shuffle; fitting gathers
-a bounded number of token features.
+FIT_SEGMENTS pieces of SEGMENT tokens as numbers, no texts.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,15 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import bounded_sample, discard, slices, texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-LABELS = ("none", *BASE_KINDS)
+LABELS = ("none", *BASE_KINDS, "secret")
 K = len(LABELS)
 CONFIDENCE = 0.9
-#: Rows that the field is fitted on, about, and their tokens at most.
-FIT_ROWS, FIT_TOKENS = 4000, 100_000
-EPOCHS, STEP, DECAY, DROP = 150, 0.1, 1e-3, 0.5
+#: Rows that the field is fitted on, about; pieces of them, and tokens of a piece.
+FIT_ROWS, FIT_SEGMENTS, SEGMENT = 4000, 4000, 64
+EPOCHS, STEP, DECAY, DROP = 150, 0.1, 1e-3, 0.3
 ROUNDS, DAMPING = 12, 0.3
 #: Digits or characters from which equal contents make a skip edge.
 SKIP_DIGITS, SKIP_CHARS = 7, 8
@@ -110,24 +116,39 @@ def signed_tokens(text: str) -> list[tuple[int, int]]:
 
 #: Shape features: names in order; the first is always on.
 SHAPES = (
-    "bias at dot_after_at no_digit d1_3 d4_6 d7_9 d10_15 d16_19 d20 dots1 dots2 dots3 dots4 only_digits plus paren hyphen letter hex_like long colon slash equals quote".split()
+    "bias at dot_after_at no_digit d1_3 d4_6 d7_9 d10_15 d16_19 d20 dots1 dots2 dots3 dots4 only_digits plus paren hyphen letter hex_like long colon slash equals quote luhn named assigned".split()
 )
-
-
-def shape(token: str) -> list[int]:
-    """Indices of the features that are on."""
+#: Words before a token are features by hash.
+WORD_BUCKETS = 32
+FEATURES = len(SHAPES) + WORD_BUCKETS
+_TRIM = ".,;:!?()[]{}<>\"'$%&*#"
+#: What names a secret, up to the place where its value starts.
+_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth)\w*[\"']?\s{0,4}[:=]\s{0,4}[\"']?$")
+_ASSIGNED = re.compile(r"[:=]\s{0,4}[\"']?$")
+_WORD_BEFORE = re.compile(r"([^\W\d_]+)[\W_]*$")
+#: A value that can be a secret.
+_VALUE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}\Z")
+#: Characters before a token that its context is read from.
+_BEFORE = 40
+
+
+def shape(token: str, before: str) -> list[int]:
+    """Indices of the features that are on, for a token and the text before it."""
     digits = sum("0" <= c <= "9" for c in token)
     dots = token.count(".")
     on = [True, "@" in token, "." in token.partition("@")[2], digits == 0, 1 <= digits <= 3, 4 <= digits <= 6, 7 <= digits <= 9, 10 <= digits <= 15, 16 <= digits <= 19, digits > 19]
     letters = any(c.isalpha() for c in token)
     on += [dots == 1, dots == 2, dots == 3, dots > 3, digits == len(token), "+" in token, "(" in token or ")" in token, "-" in token, letters]
-    on += [letters and digits > 0 and all(c in "0123456789abcdefABCDEF" for c in token), len(token) > 24, ":" in token, "/" in token, "=" in token, '"' in token or "'" in token]
-    return [k for k, x in enumerate(on) if x]
+    on += [letters and digits > 0 and all(c in "0123456789abcdefABCDEF" for c in token.strip(_TRIM)), len(token) > 24, ":" in token, "/" in token, "=" in token, '"' in token or "'" in token]
+    on += [16 <= digits <= 19 and not letters and _luhn(_DIGITS.sub("", token)), bool(_NAMED.search(before)), bool(_ASSIGNED.search(before))]
+    word = _WORD_BEFORE.search(before)
+    bucket = [len(SHAPES) + zlib.crc32(word[1].lower().encode()) % WORD_BUCKETS] if word else []
+    return [k for k, x in enumerate(on) if x] + bucket
 
 
 @dataclass
 class Graph:
-    """Tokens of a batch of texts: text, span, shapes, observed label (-1: free), edges."""
+    """Tokens of a batch of texts: text, span, features, observed label (-1: free), edges."""
 
     text: np.ndarray
     start: np.ndarray
@@ -136,59 +157,88 @@ class Graph:
     label: np.ndarray
     chain: np.ndarray  # edges x 2
     skip: np.ndarray
-    twin: np.ndarray  # free token with the content of an observed one
+
+
+def _dense(on: list[list[int]]) -> np.ndarray:
+    table = np.zeros((len(on), FEATURES), np.float32)
+    for i, x in enumerate(on):
+        table[i, x] = 1
+    return table
+
+
+def _tokens(text: str, found: list[tuple[int, int, int]]) -> tuple[list, list, list, list, list]:
+    """(start, end), features, label of each signed token of a text, chain and skip edges between them."""
+    rows: list[tuple[int, int]] = []
+    on: list[list[int]] = []
+    label: list[int] = []
+    chain: list[tuple[int, int]] = []
+    skip: list[tuple[int, int]] = []
+    edges = sorted((s, e, k) for k, s, e in found)
+    last: dict[str, int] = {}
+    covering: list[tuple[int, int, int]] = []
+    run, j = "", 0
+    for s, e in signed_tokens(text):
+        while j < len(edges) and edges[j][0] < e:
+            covering.append(edges[j])
+            j += 1
+        covering = [x for x in covering if x[1] > s]
+        i, token = len(rows), text[s:e]
+        near = bool(rows) and s - rows[-1][1] <= 1
+        if near:
+            chain.append((i - 1, i))
+        digits = _DIGITS.sub("", token)
+        letters = any(c.isalpha() for c in token) or "@" in token
+        run = "" if letters else (run[-32:] if near else "") + digits  # digits of a number written as several tokens
+        word = token.strip(_TRIM).lower()
+        content = f"#{run[-SKIP_DIGITS:]}" if len(run) >= SKIP_DIGITS else f"#{digits[-SKIP_DIGITS:]}" if not letters and len(digits) >= SKIP_DIGITS else word if len(word) >= SKIP_CHARS else ""
+        if content:
+            if content in last:
+                skip.append((last[content], i))
+            last[content] = i
+        rows.append((s, e))
+        on.append(shape(token, text[max(0, s - _BEFORE) : s]))
+        label.append(next((k for a, b, k in covering if b > s and a < e), -1))
+    return rows, on, label, chain, skip
 
 
 def graph(batch: list[str], spans: list[list[tuple[int, int, int]]]) -> Graph:
-    rows: list[tuple[int, int, int]] = []
-    shapes: list[list[int]] = []
+    at: list[tuple[int, int, int]] = []
+    on: list[list[int]] = []
     label: list[int] = []
     chain: list[tuple[int, int]] = []
     skip: list[tuple[int, int]] = []
-    twin: list[bool] = []
     for d, (text, found) in enumerate(zip(batch, spans)):
         if not _SIGN.search(text):
             continue
-        edges = sorted((s, e, k) for k, s, e in found)
-        last: dict[str, int] = {}
-        known: dict[str, bool] = {}
-        first, j = len(rows), 0
-        contents: list[str] = []
-        covering: list[tuple[int, int, int]] = []
-        for s, e in signed_tokens(text):
-            while j < len(edges) and edges[j][0] < e:
-                covering.append(edges[j])
-                j += 1
-            covering = [x for x in covering if x[1] > s]
-            kind = next((k for a, b, k in covering if b > s and a < e), -1)
-            i = len(rows)
-            token = text[s:e]
-            if i > first and s - rows[-1][2] <= 1:
-                chain.append((i - 1, i))
-            digits = _DIGITS.sub("", token)
-            word = token.strip(".,;:!?()[]{}<>\"'").lower()
-            content = f"#{digits}" if len(digits) >= SKIP_DIGITS else word if len(word) >= SKIP_CHARS else ""
-            if content:
-                if content in last:
-                    skip.append((last[content], i))
-                last[content] = i
-                known[content] = known.get(content, False) or kind > 0
-            contents.append(content)
-            rows.append((d, s, e))
-            shapes.append(shape(token))
-            label.append(kind)
-        twin += [bool(c) and known[c] for c in contents]
-    table = np.zeros((len(rows), len(SHAPES)), np.float32)
-    for i, on in enumerate(shapes):
-        table[i, on] = 1
-    at = np.array(rows, np.int64).reshape(-1, 3)
-    lab = np.array(label, np.int64)
-    return Graph(at[:, 0], at[:, 1], at[:, 2], table, lab, np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2), np.array(twin, bool) & (lab < 0))
+        rows, shapes, labels, c, s = _tokens(text, found)
+        base = len(at)
+        at += [(d, a, b) for a, b in rows]
+        on += shapes
+        label += labels
+        chain += [(a + base, b + base) for a, b in c]
+        skip += [(a + base, b + base) for a, b in s]
+    where = np.array(at, np.int64).reshape(-1, 3)
+    edges = lambda x: np.array(x, np.int64).reshape(-1, 2)
+    return Graph(where[:, 0], where[:, 1], where[:, 2], _dense(on), np.array(label, np.int64), edges(chain), edges(skip))
+
+
+def _plausible(kind: str, token: str) -> bool:
+    """Whether a token that the field labels can be of that kind at all."""
+    digits = sum("0" <= c <= "9" for c in token)
+    if kind == "email":
+        return 0 < token.find("@") < len(token) - 1
+    if kind == "ip":
+        return token.count(".") == 3
+    if kind == "card":
+        return 13 <= digits <= 19 and not any(c.isalpha() for c in token)
+    if kind == "phone":
+        return 7 <= digits <= 15 and not any(c.isalpha() for c in token)
+    return bool(_VALUE.match(token)) and digits > 0 and any(c.isalpha() for c in token)
 
 
 @dataclass
 class SkipChainField:
-    node: np.ndarray  # shapes x K
+    node: np.ndarray  # features x K
     chain: np.ndarray  # K x K
     skip: np.ndarray  # K x K
 
@@ -221,34 +271,66 @@ class SkipChainField:
         """Spans that the field adds to each text's base spans."""
         g = graph(batch, spans)
         out: list[list[tuple[int, int, int]]] = [[] for _ in batch]
-        if not g.twin.any():
+        if not (g.label < 0).any() or not self.node.any():
             return out
         p = self.marginals(g)
         best = p.argmax(axis=1)
-        for i in np.flatnonzero(g.twin & (best > 0) & (p.max(axis=1) >= CONFIDENCE)):
-            d, s, e = int(g.text[i]), int(g.start[i]), int(g.end[i])
+        chosen = np.flatnonzero((g.label < 0) & (best > 0) & (p.max(axis=1) >= CONFIDENCE))
+        near = {(int(a), int(b)) for a, b in g.chain}
+        runs: list[list[int]] = []
+        for i in chosen.tolist():
+            if runs and (runs[-1][-1], i) in near and best[i] == best[runs[-1][-1]] and LABELS[best[i]] in ("card", "phone"):
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        for run in runs:
+            d, s, e, kind = int(g.text[run[0]]), int(g.start[run[0]]), int(g.end[run[-1]]), int(best[run[0]])
             token = batch[d][s:e]
-            s, e = s + len(token) - len(token.lstrip(".,;:!?()[]{}<>\"'")), e - len(token) + len(token.rstrip(".,;:!?()[]{}<>\"'"))
-            if s < e and all(e <= a or s >= b for _, a, b in spans[d]):
-                out[d].append((int(best[i]), s, e))
+            lead = _TRIM.replace("(", "") if LABELS[kind] == "phone" else _TRIM
+            s, e = s + len(token) - len(token.lstrip(lead)), e - len(token) + len(token.rstrip(_TRIM))
+            if s < e and _plausible(LABELS[kind], batch[d][s:e]) and all(e <= a or s >= b for _, a, b in spans[d]):
+                out[d].append((kind, s, e))
         return out
 
 
-def _fit(gs: list[Graph]) -> SkipChainField:
-    """Pseudo-likelihood by Adam; a free token counts as "none"."""
+def training_labels(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Spans that learning takes as true, and stretches whose tokens have no label."""
+    spans = base_spans(text)
+    covered = [(s, e) for _, s, e in spans]
+    for s, e in signed_tokens(text):
+        value = text[s:e].strip(_TRIM)
+        named = _NAMED.search(text[max(0, s - _BEFORE) : s])
+        if named and _VALUE.match(value) and any(c.isalpha() for c in value) and all(e <= a or s >= b for a, b in covered):
+            spans.append((LABELS.index("secret"), s, e))
+    unknown = []
+    for m in _PHONE.finditer(text):
+        if sum(c.isdigit() for c in m[0]) > 15:
+            end = min([s for s, _ in covered if m.start() < s < m.end()], default=m.end())
+            if 8 <= sum(c.isdigit() for c in text[m.start() : end]) <= 15:
+                spans.append((LABELS.index("phone"), m.start(), end))
+            else:
+                unknown.append(m.span())
+    return spans, unknown
+
+
+def _without_first(x: list, y: list[int], chain: list[int], skip: list[int]) -> tuple | None:
+    """A piece without the first tokens of phones, or None if it has no phone of several tokens."""
+    phone = LABELS.index("phone")
+    pairs = list(zip(chain[::2], chain[1::2]))
+    inner = {b for a, b in pairs if y[a] == y[b] == phone}
+    gone = {a for a, b in pairs if y[a] == y[b] == phone and a not in inner}
+    if not gone:
+        return None
+    place = {old: new for new, old in enumerate(k for k in range(len(y)) if k not in gone)}
+    left = lambda e: [place[k] for a, b in zip(e[::2], e[1::2]) if a in place and b in place for k in (a, b)]
+    return [x[k] for k in place], [y[k] for k in place], left(chain), left(skip)
+
+
+def _fit(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> SkipChainField:
+    """Pseudo-likelihood by Adam; tokens with label -1 take no part."""
     rng = np.random.Generator(np.random.PCG64(5))
-    base, x, y, chain, skip = 0, [], [], [], []
-    for g in gs:
-        x.append(g.shapes)
-        y.append(np.maximum(g.label, 0))
-        chain.append(g.chain + base)
-        skip.append(g.skip + base)
-        base += len(g.label)
-    x, y = np.concatenate(x), np.concatenate(y)
-    chain, skip = np.concatenate(chain), np.concatenate(skip)
-    paired = np.zeros(len(y), bool)
-    paired[skip.ravel()] = True
-    onehot = np.eye(K)[y]
+    known = y >= 0
+    onehot = np.eye(K)[np.maximum(y, 0)] * known[:, None]
     around = {}
     for name, edges in (("chain", chain), ("skip", skip)):
         into, out = np.zeros((len(y), K)), np.zeros((len(y), K))
@@ -258,13 +340,13 @@ def _fit(gs: list[Graph]) -> SkipChainField:
     w = {"node": np.zeros((x.shape[1], K)), "chain": np.zeros((K, K)), "skip": np.zeros((K, K))}
     m, v = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
     for t in range(1, EPOCHS + 1):
-        seen = x.copy()
-        seen[paired & (rng.random(len(y)) < DROP), 1:] = 0
+        seen = x * (rng.random(x.shape, np.float32) >= DROP)
+        seen[:, 0] = x[:, 0]
         z = seen @ w["node"]
         for name, (into, out) in around.items():
             z = z + into @ w[name] + out @ w[name].T
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        e = (p / p.sum(axis=1, keepdims=True) - onehot) / len(y)
+        e = (p / p.sum(axis=1, keepdims=True) - onehot) * known[:, None] / max(1, known.sum())
         grads = {"node": seen.T @ e} | {n: i.T @ e + (o.T @ e).T for n, (i, o) in around.items()}
         for k, g in grads.items():
             g = g + DECAY / 100 * w[k]
@@ -274,44 +356,53 @@ def _fit(gs: list[Graph]) -> SkipChainField:
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> SkipChainField:
-    """Fit on about `fit_rows` rows of (doc_id, text) with signed tokens, taken by a hash of doc_id.
+    """Fit on about `fit_rows` rows of (doc_id, text) with signed tokens, taken by a hash of doc_id and text.
 
-    Without any the weights are zero and nothing is added.
+    Texts are read whole; of their pieces of SEGMENT tokens the FIT_SEGMENTS
+    with the least hash are learned from.  Without any the weights are zero and
+    nothing is added.
     """
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
-    n = rows.count()
-    if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(fit_rows / n * (1 << 20)))
+    sample = bounded_sample(docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text"), fit_rows, "doc_id", "text")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Only signed tokens and what keeps them apart; it is all that the field sees."""
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            short = []
-            for t in texts(b.column("text")):
-                parts, end = [], 0
-                for s, e in signed_tokens(t)[:2000]:
-                    parts.append((" " if s - end <= 1 else " | ") + t[s : min(e, s + 200)])
-                    end = e
-                short.append("".join(parts))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(short, pa.string())], ["doc_id", "text"])
-
-    got = rows.mapInArrow(windows, "doc_id bigint, text string").toPandas().sort_values(["doc_id", "text"], kind="stable")["text"].tolist()
-    gs, held = [], 0
-    for a in range(0, len(got), 500):
-        part = got[a : a + 500]
-        g = graph(part, [base_spans(t) for t in part])
-        if len(g.label) and held < FIT_TOKENS:
-            gs.append(g)
-            held += len(g.label)
-    zero = SkipChainField(np.zeros((len(SHAPES), K)), np.zeros((K, K)), np.zeros((K, K)))
-    return _fit(gs) if gs else zero
+            rows: list[tuple] = []
+            for text in texts(b.column("text")):
+                spans, unknown = training_labels(text)
+                at, on, label, chain, skip = _tokens(text, spans)
+                mark = zlib.crc32(text.encode())
+                for a in range(0, len(at), SEGMENT):
+                    e = min(len(at), a + SEGMENT)
+                    inside = lambda x, a=a, e=e: [k - a for p in x if a <= p[0] and p[1] < e for k in p]
+                    # a token without a base label is none, or has no label where a phone pattern failed
+                    y = [k if k >= 0 else -1 if any(s < v and u < t for s, t in unknown) else 0 for k, (u, v) in zip(label[a:e], at[a:e])]
+                    piece = on[a:e], y, inside(chain), inside(skip)
+                    rows.append((zlib.crc32(b"%d" % a, mark), *piece))
+                    if cut := _without_first(*piece):
+                        rows.append((zlib.crc32(b"-%d" % a, mark), *cut))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_PIECE_TYPES)], ["h", "x", "y", "chain", "skip"])
+
+    found = sample.mapInArrow(pieces, "h bigint, x array<array<int>>, y array<int>, chain array<int>, skip array<int>").orderBy("h", "y", "chain", "skip").limit(FIT_SEGMENTS).collect()
+    discard(sample)
+    if not found:
+        return SkipChainField(np.zeros((FEATURES, K)), np.zeros((K, K)), np.zeros((K, K)))
+    base = np.cumsum([0, *(len(r.y) for r in found)])
+    edges = lambda c: np.concatenate([np.array(r[c], np.int64).reshape(-1, 2) + base[k] for k, r in enumerate(found)])
+    return _fit(_dense([on for r in found for on in r.x]), np.concatenate([np.array(r.y, np.int64) for r in found]), edges("chain"), edges("skip"))
+
+
+_PIECE_TYPES = (pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()))
 
 
 def find(docs: DataFrame, field: SkipChainField) -> DataFrame:
-    """doc_id, base and spans of every row: arrays of (kind, start, end) in code points.
+    """doc_id, base and spans of every row of (doc_id, text): arrays of (kind, start, end) in code points.
 
     base holds the patterns' spans, spans those and the field's, both ordered
-    by kind as in BASE_KINDS and then by start.  Null or empty texts have none.
+    by kind as in LABELS and then by start.  Null or empty texts have none; a
+    very long text is read whole.  Between equal probabilities the first kind
+    in LABELS wins.  Rows that repeat, also with the same or no doc_id, stay
+    apart; an empty table gives an empty result; other columns are ignored,
+    whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
 from . import decontaminate, html_extract, jaccard_join, language_id, packing, pii, quality, token_store, toxicity
-from .common import crc_mod, labelled_sample, table
+from .common import crc_mod, labelled_sample, scratch_path, table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +45,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, pii.fit(docs))
     joined = {c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))) for c in ("base", "spans")}
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined["base"], 256).alias("base_sha256"), joined["spans"].alias("spans"))
+    secrets = F.expr("cast(size(filter(spans, s -> s.kind = 'secret')) as bigint)").alias("n_secret")
+    added = F.expr("cast(size(spans) - size(base) as bigint)").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(joined["base"], 256).alias("base_sha256"), joined["spans"].alias("spans"), secrets, added)
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return token_store.read_token_files(*token_store.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), keep_space=False, end_id=2))
+    path = scratch_path(spark)
+    token_store.write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), keep_space=False, end_id=2)
+    return token_store.read_token_files(spark, path)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
