@@ -5,19 +5,24 @@ word beginnings of four and five bytes, each present or not in a text.  The
 FEATURES most telling ones are picked by smoothed log odds, the identity terms
 are always among them, and a logistic regression is fitted with a penalty on
 
-    (score of a sentence - score of the sentence with its identity term swapped) ** 2
+    (score of a sentence - score of its counterfactual) ** 2
 
-over labelled sentences that name a group, each swapped for every other term
-of its group.  Score changes that only the named group makes are so pushed to
-zero, and neutral mentions don't raise the score.
+over labelled sentences.  Where a sentence names a group, its counterfactuals
+name every time another of the same kind and language instead.  Where it names
+none, a term is put into it, so that the penalty works in corpora that hardly
+name groups: counterfactuals of the plain sentence name one, and of that one
+another.  Score changes that only the named group makes are so pushed to zero,
+and neutral mentions don't raise the score.
 
-Scale.  Fitting uses a bounded sample: counts of BUCKETS features and FIT_ROWS
-short lists of picked features reach the driver.  Scoring is one pass.
+Scale.  Fitting uses a bounded sample, written once: counts of BUCKETS features,
+FIT_ROWS short lists of picked features and SWAP_PAIRS pairs of them reach the
+driver.  Scoring is one pass.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,28 +32,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import slices
+from .common import bounded_sample, discard, slices
 
 BUCKETS, FEATURES = 1 << 19, 768
 #: Bytes of the word beginnings that are features.
 PREFIXES = (4, 5)
 #: Labelled rows that the model is fitted on, about.
 FIT_ROWS = 20_000
-#: Sentences with an identity term that are swapped, at most, and the weight of their penalty.
-SWAP_SENTENCES, SWAP_WEIGHT = 2000, 4.0
+#: Pairs of a sentence and its counterfactual, at most, how many one text gives, and the weight of their penalty.
+SWAP_PAIRS, SWAPS, SWAP_WEIGHT = 4000, 4, 4.0
+#: Words of the sentences that counterfactuals are made from.
+SWAP_WORDS = (2, 60)
 EPOCHS, STEP, DECAY = 300, 0.1, 1e-5
 #: Texts of the positive class that a feature must occur in.
 LEAST_TEXTS = 3
 
-#: Terms that name groups neutrally; a term is swapped within its own group.
+#: Terms that name groups neutrally, by kind and language; a term is swapped within its list.
 IDENTITY = {
-    "belief": "christian muslim jewish hindu buddhist sikh catholic protestant atheist".split(),
-    "origin": "african american asian european latino mexican arab indian chinese german french spanish".split(),
-    "gender": "women men woman man girls boys female male nonbinary".split(),
-    "orientation": "gay lesbian bisexual straight queer transgender".split(),
-    "other": "black white brown immigrant immigrants refugee refugees elderly young disabled blind deaf".split(),
+    "belief en": "christian muslim jewish hindu buddhist sikh catholic protestant atheist".split(),
+    "belief de": "christ christin muslim muslima jude jüdin hindu buddhist katholik protestantin atheist".split(),
+    "belief fr": "chrétien chrétienne musulman musulmane juif juive hindou bouddhiste catholique athée".split(),
+    "belief es": "cristiano cristiana musulmán musulmana judío judía hindú budista católico atea".split(),
+    "origin en": "african american asian european latino mexican arab indian chinese german french spanish".split(),
+    "origin de": "afrikaner amerikanerin asiate europäerin araberin inder chinesin türke polin".split(),
+    "origin fr": "africain américaine asiatique européen arabe indienne chinois algérien polonaise".split(),
+    "origin es": "africano americana asiático europea árabe indio china marroquí mexicana".split(),
+    "gender en": "women men woman man girls boys female male nonbinary".split(),
+    "gender de": "frauen männer frau mann mädchen jungen weiblich männlich".split(),
+    "gender fr": "femmes hommes femme homme filles garçons".split(),
+    "gender es": "mujeres hombres mujer hombre chicas chicos".split(),
+    "orientation en": "gay lesbian bisexual straight queer transgender".split(),
+    "orientation de": "schwul lesbisch bisexuell heterosexuell queer transgeschlechtlich".split(),
+    "orientation fr": "gay lesbienne bisexuel hétérosexuelle transgenre".split(),
+    "orientation es": "gay lesbiana bisexual heterosexual transgénero".split(),
+    "other en": "black white brown immigrant immigrants refugee refugees elderly young disabled blind deaf".split(),
+    "other de": "schwarze weiße einwanderer flüchtling geflüchtete behinderte blinde gehörlose".split(),
+    "other fr": "noire blanche immigré immigrée réfugié réfugiée handicapé aveugle sourde".split(),
+    "other es": "negra blanca inmigrante refugiado refugiada discapacitado ciega sorda".split(),
 }
-_GROUP = {t: g for g, ts in IDENTITY.items() for t in ts}
 _U = np.uint64
 
 
@@ -87,16 +108,51 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def swaps(sentence: str) -> list[str]:
-    """The sentence with its first identity term swapped for each other of its group."""
-    for m in re.finditer(r"[a-z]+", sentence.lower()):
-        if m[0] in _GROUP:
-            return [sentence[: m.start()] + t + sentence[m.end() :] for t in IDENTITY[_GROUP[m[0]]] if t != m[0]]
-    return []
+def _terms(identity: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The lists that each term is in."""
+    out: dict[str, list[str]] = {}
+    for group, terms in identity.items():
+        for t in terms:
+            out.setdefault(t, []).append(group)
+    return out
 
 
-def _fit_weights(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam with the swap penalty."""
+_WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[^.!?\n]+")
+
+
+def counterfactuals(sentence: str, identity: dict[str, list[str]] = IDENTITY, most: int = SWAPS) -> list[tuple[str, str]]:
+    """Pairs of a sentence and its counterfactual; which terms are taken is a hash of the sentence.
+
+    A sentence that names groups has its first named list's terms swapped,
+    wherever they occur; in one that names none a term is put behind a word.
+    """
+    known, mark = _terms(identity), zlib.crc32(sentence.encode())
+    named = [m for m in _WORD.finditer(sentence) if m[0].lower() in known]
+    if named:
+        group = known[named[0][0].lower()][0]
+        own = {m[0].lower() for m in named}
+        others = [t for t in identity[group] if t not in own]
+        with_term = lambda t: _WORD.sub(lambda m: t if m[0].lower() in identity[group] else m[0], sentence)
+        first = sentence
+    else:
+        group = sorted(identity)[mark % len(identity)]
+        others = list(identity[group])
+        ends = [m.end() for m in _WORD.finditer(sentence)]
+        at = ends[(mark >> 8) % len(ends)] if ends else len(sentence)
+        with_term = lambda t: f"{sentence[:at]} {t}{sentence[at:]}"
+        first = None
+    turn = (mark >> 16) % max(1, len(others))
+    others = (others[turn:] + others[:turn])[:most]
+    if not others:
+        return []
+    if first is not None:
+        return [(first, with_term(t)) for t in others]
+    return [(sentence, with_term(others[0])), *((with_term(a), with_term(b)) for a, b in zip(others, others[1:]))]
+
+
+def _fit_weights(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], k: int, weight: float = SWAP_WEIGHT) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam with the penalty on pairs."""
     x = np.zeros((len(rows), k), np.float32)
     for i, r in enumerate(rows):
         x[i, r] = 1
@@ -107,27 +163,39 @@ def _fit_weights(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.nda
     w[k] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, EPOCHS + 1):
-        e = (sigmoid(x @ w[:k] + w[k]) - y) / len(y)
-        g = np.append(x.T @ e + DECAY * w[:k], e.sum())
-        if len(pairs):
-            p, q = sigmoid(a @ w[:k] + w[k]), sigmoid(b @ w[:k] + w[k])
-            d = 2 * SWAP_WEIGHT * (p - q) / len(pairs)
+        own = w[:k].astype(np.float32)
+        e = (sigmoid(x @ own + w[k]) - y) / len(y)
+        g = np.append(e.astype(np.float32) @ x + DECAY * w[:k], e.sum())
+        if len(pairs) and weight:
+            p, q = sigmoid(a @ own + w[k]), sigmoid(b @ own + w[k])
+            d = 2 * weight * (p - q) / len(pairs)
             dp, dq = d * p * (1 - p), d * q * (1 - q)
-            g += np.append(a.T @ dp - b.T @ dq, (dp - dq).sum())
+            g += np.append(dp.astype(np.float32) @ a - dq.astype(np.float32) @ b, (dp - dq).sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:k], float(w[k])
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
-    """Fit on about `fit_rows` rows of (doc_id, text, label), taken by a hash of doc_id.
+def score_gap(model: ToxicityModel, sentences: list[str], identity: dict[str, list[str]] = IDENTITY) -> float:
+    """Mean change of the score between sentences and their counterfactuals."""
+    pairs = [p for s in sentences for p in counterfactuals(s, identity)]
+    if not pairs:
+        return 0.0
+    first, second = (model.score(pa.array([p[k] for p in pairs])) for k in (0, 1))
+    return float(np.abs(first - second).mean())
 
-    Rows with a null label don't count.  Without any row every score is 0.5.
+
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, identity: dict[str, list[str]] = IDENTITY, swap_weight: float = SWAP_WEIGHT) -> ToxicityModel:
+    """Fit on about `fit_rows` rows of (doc_id, text, label), taken by a hash of doc_id and text.
+
+    Rows with a null label don't count; null texts count as empty, very long
+    ones whole, repeated rows each.  Without any row every score is 0.5.
+    Counterfactuals come from one sentence of SWAP_WORDS words of a text, that
+    of least hash, first from texts of least hash; sentences that name groups
+    come before others.
     """
     rows = labelled.where("label is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    n = rows.count()
-    if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(fit_rows / n * (1 << 20)))
+    rows = sample = bounded_sample(rows, fit_rows, "doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
@@ -147,40 +215,58 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     got = got[got["bucket"] >= 0]
     odds = np.log((got["n1"] + 0.5) / (d1 + 1)) - np.log((got["n0"] + 0.5) / (d0 + 1))
     telling = got.assign(s=odds * np.sqrt(got["n1"]))[odds > 1.0].sort_values(["s", "bucket"], ascending=[False, True])
-    identity, _ = features(pa.array([" ".join(_GROUP)]))
+    terms, _ = features(pa.array([" ".join(_terms(identity))]))
     place = np.full(BUCKETS, -1, np.int32)
-    buckets = np.unique(np.concatenate([telling["bucket"].to_numpy(np.int64)[:FEATURES], identity]))
+    buckets = np.unique(np.concatenate([telling["bucket"].to_numpy(np.int64)[:FEATURES], terms]))
     place[buckets] = np.arange(len(buckets))
     model = ToxicityModel(place, np.zeros(len(buckets)), 0.0)
     if d0 + d1 == 0:
+        discard(sample)
         return model
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term = re.compile(r"\b(?:" + "|".join(_GROUP) + r")\b", re.I)
+        known = _terms(identity)
         for b in slices(batches, "text"):
-            of, where = shared.value.picked(b.column("text"))
+            model = shared.value
+            of, where = model.picked(b.column("text"))
             cut = np.searchsorted(of, np.arange(b.num_rows + 1))
-            named = []
+            places = [where[x:y].tolist() for x, y in zip(cut[:-1], cut[1:])]
+            first, second, order = [], [], []
             for t in b.column("text").to_pylist():
-                m = term.search(t)
-                lo, hi = (max(t.rfind(c, 0, m.start()) for c in ".\n") + 1, m.end() + 200) if m else (0, 0)
-                named.append(re.split(r"[.\n]", t[lo:hi], maxsplit=1)[0][-400:] if m else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([where[x:y].tolist() for x, y in zip(cut[:-1], cut[1:])], pa.list_(pa.int32())), pa.array(named, pa.string())], ["doc_id", "label", "places", "sentence"])
-
-    got = rows.mapInArrow(lists, "doc_id bigint, label int, places array<int>, sentence string").toPandas().sort_values("doc_id", kind="stable")
-    pairs = []
-    for s in got["sentence"].dropna().tolist()[:SWAP_SENTENCES]:
-        other = swaps(s)
-        if other:
-            of, where = model.picked(pa.array([s, *other]))
-            pairs += [(where[of == 0], where[of == k]) for k in range(1, len(other) + 1)]
-    model.weights, model.bias = _fit_weights([np.asarray(p, np.int64) for p in got["places"]], (got["label"] == 1).to_numpy(float), pairs, len(buckets))
+                able = []
+                for s in _SENTENCE.findall(t):
+                    if SWAP_WORDS[0] <= len(s.split()) <= SWAP_WORDS[1]:
+                        able.append((not any(m[0].lower() in known for m in _WORD.finditer(s)), zlib.crc32(s.encode()), s.strip()))
+                best = min(able, default=None)
+                pairs = counterfactuals(best[2], identity) if best else []
+                order.append((best[0] << 32) + best[1] if best else 1 << 40)
+                first.append([p[0] for p in pairs])
+                second.append([p[1] for p in pairs])
+            flat = [s for side in (first, second) for x in side for s in x]
+            of, where = model.picked(pa.array(flat, pa.string()))
+            cut = np.searchsorted(of, np.arange(len(flat) + 1))
+            each = iter([where[x:y].tolist() for x, y in zip(cut[:-1], cut[1:])])
+            sides = [[[next(each) for _ in x] for x in side] for side in (first, second)]
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((b.column("doc_id").to_pylist(), b.column("label").to_pylist(), places, order, *sides), kinds)], ["doc_id", "label", "places", "order", "a", "b"])
+
+    spec = "doc_id bigint, label int, places array<int>, order bigint, a array<array<int>>, b array<array<int>>"
+    got = rows.mapInArrow(lists, spec).toPandas().sort_values(["doc_id", "order"], kind="stable")
+    discard(sample)
+    pairs = [(np.asarray(p, np.int64), np.asarray(q, np.int64)) for x, y in got.sort_values(["order", "doc_id"], kind="stable")[["a", "b"]].itertuples(index=False) for p, q in zip(x, y)]
+    model.weights, model.bias = _fit_weights([np.asarray(p, np.int64) for p in got["places"]], (got["label"] == 1).to_numpy(float), pairs[:SWAP_PAIRS], len(buckets), swap_weight)
     return model
 
 
 def predict(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id and score, the probability of label 1; null counts as the empty text."""
+    """doc_id and score, the probability of label 1, of every row of (doc_id, text).
+
+    A null text counts as empty; a very long one is read whole.  Rows that
+    repeat, also with the same or no doc_id, stay apart and get equal scores
+    for equal texts.  An empty table gives an empty result; other columns are
+    ignored, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
