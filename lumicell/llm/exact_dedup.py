@@ -10,9 +10,9 @@ unique and pass straight through; only the rest shuffle and are grouped by
 their full SHA-256.
 
 Scale.  The filter has a row for each word with a repeated fingerprint; it is
-broadcast only if it has at most FILTER_WORDS rows (a 16-byte row each).
-Beyond that no filter that fits memory could hold the repeats, so all hashed
-rows (40 bytes, never texts) are grouped.  A hash with more than a thousandth
+broadcast if it has at most FILTER_WORDS rows (a 16-byte row each).  Beyond
+that the hashed rows (never texts) meet their words of the filter in a join by
+word, and again only those that hit go on to be grouped.  A hash with more than a thousandth
 of the rows is hot; there are fewer than a thousand, so their groups are
 broadcast and their rows never meet in one task.  Other groups join by hash.
 Texts are read once: what both passes need is the hashed table in the shared
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved, without
+from .common import BROADCAST_KEYS, ascii_lower, discard, saved, unused, without
 
 #: Rows of the filter up to which it is broadcast: 64 MB.
 FILTER_WORDS = 4_000_000
@@ -61,8 +61,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", filter
     Equal texts are those equal after lower-casing A-Z; null counts as empty.
     Of a group the row with the largest key stays.  Repeated keys are rows of
     their own: each counts in group_size, and of rows that share key and text
-    all have kept true if that key is the largest.  An empty table gives an
-    empty result.  Other columns of the input are ignored.
+    all have kept true if that key is the largest.  Null keys count as the
+    smallest: their rows stay only in groups without other keys.  Very long
+    texts are hashed whole.  An empty table gives an empty result.  Other
+    columns of the input are ignored, whatever their names.
     """
     hashed = saved(docs.select(F.col(key).alias("doc_id"), text_hash(F.col(text)).alias("text_sha256")))
     n = hashed.count()
@@ -73,15 +75,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", filter
         hashed.select(fp.alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("hits")).where("hits > 1")
         .groupBy(F.shiftright("fp", 24).alias("word")).agg(F.bit_or(_bits(F.col("fp"))).alias("bits"))
     )
-    if bloom.count() <= filter_words:
-        probed = (
-            hashed.withColumn("_fp", fp)
-            .join(F.broadcast(bloom), F.shiftright("_fp", 24) == F.col("word"), "left")
-            .select("doc_id", "text_sha256", F.coalesce(F.col("bits").bitwiseAND(_bits(F.col("_fp"))) == _bits(F.col("_fp")), F.lit(False)).alias("_maybe"))
-        )
-        unique, maybe = probed.where("not _maybe").drop("_maybe"), probed.where("_maybe").drop("_maybe")
-    else:
-        unique, maybe = None, hashed
+    near = F.broadcast(bloom) if bloom.count() <= filter_words else bloom.hint("merge")
+    probed = (
+        hashed.withColumn("_fp", fp)
+        .withColumn("word", F.shiftright("_fp", 24))
+        .join(near, "word", "left")
+        .select("doc_id", "text_sha256", F.coalesce(F.col("bits").bitwiseAND(_bits(F.col("_fp"))) == _bits(F.col("_fp")), F.lit(False)).alias("_maybe"))
+    )
+    unique, maybe = probed.where("not _maybe").drop("_maybe"), probed.where("_maybe").drop("_maybe")
 
     groups = saved(maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"))
     hot_size = max(HOT_LEAST, n // HOT_SHARE)
@@ -90,8 +91,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", filter
     tried = maybe.join(F.broadcast(hot), "text_sha256", "left")
     out = tried.where("keep_id is not null")
     out = out.unionByName(tried.where("keep_id is null").select("doc_id", "text_sha256").join(cold, "text_sha256", "left").select(out.columns))
-    if unique is not None:
-        out = out.unionByName(unique, allowMissingColumns=True)
+    out = out.unionByName(unique, allowMissingColumns=True)
     return out.select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
@@ -102,11 +102,23 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", filter
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; one of rows that share doc_id and text."""
+    """One row of each group of equal texts, that with the largest doc_id, with all its columns.
+
+    Of rows that share that doc_id (or have none, in a group without any) one
+    stays; which one is not defined if their other columns differ.  Null and
+    empty texts are one group.  An empty table stays empty.  Only rows whose
+    doc_id and text repeat shuffle.
+    """
     found = saved(exact_dedup(docs))
-    hashed = docs.withColumn("_text_sha256", text_hash(F.col("text")))
-    out = without(hashed, found.where("not kept").select("doc_id", F.col("text_sha256").alias("_text_sha256")))
-    again = found.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1")
-    if not again.isEmpty():  # whole rows repeat
-        out = out.dropDuplicates(["doc_id", "_text_sha256"])
-    return out.drop("_text_sha256")
+    sha = unused(docs, "_text_sha256")
+    hashed = docs.withColumn(sha, text_hash(F.col("text")))
+    out = without(hashed, found.where("not kept").select("doc_id", F.col("text_sha256").alias(sha)))
+    again = saved(found.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256"))
+    discard(found)
+    n = again.count()
+    if n:  # rows that share key and text
+        key = again.select(F.col("doc_id").alias("_again_id"), F.col("text_sha256").alias("_again_sha"))
+        on = out["doc_id"].eqNullSafe(key["_again_id"]) & (out[sha] == key["_again_sha"])
+        key = F.broadcast(key) if n <= BROADCAST_KEYS else key.hint("merge")
+        out = out.join(key, on, "left_anti").unionByName(out.join(key, on, "left_semi").dropDuplicates(["doc_id", sha]))
+    return out.drop(sha)
