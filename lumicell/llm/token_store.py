@@ -1,21 +1,30 @@
 """Token-id files: frequency-ranked ids in a byte-aligned variable-length code.
 
-File format.  A file is a Parquet table of blocks; a block is one binary cell:
+Format.  A store is a folder of three Parquet tables, from which alone it can
+be decoded:
+
+    ranks   rank, id            the vocabulary by corpus frequency (ties: smaller id first)
+    files   file, start         ids before each file's first document
+    blocks  file, block, start, docs, ids, data
+
+Files are in ascending order of doc_id, blocks in order within a file, and
+`start` of a block counts the ids before it in its file.  `data` is
 
     magic "TIDS" | documents u32 | ids u32 | doc_id i64 x documents
     | null mark u8 x documents | length u32 x documents
     | control bytes, ceil(ids / 4) | data bytes
 
-An id is written as its rank by corpus frequency (ties: smaller id first), in
-as few of one to four little-endian bytes as hold it.  The byte counts, two
-bits an id, stand apart in the control bytes, so that decoding is a table
-lookup (256 x 4 lengths), a cumulative sum and a gather, all in numpy.
-
-Scale.  Texts are tokenized once and never shuffle: what shuffles is their ids
-(two bytes each where the vocabulary allows), by range of doc_id.  Range
-bounds come from an approximate quantile of doc_id alone.  Running starts are
-kept within a range; the ranges' totals (at most MAX_RANGES) are summed up
-apart.  Driver and broadcast see only the vocabulary's counts and those totals.
+An id is written as its rank in as few of one to four little-endian bytes as
+hold it.  The byte counts, two bits an id, stand apart in the control bytes, so
+that decoding is a table lookup (256 x 4 lengths), a cumulative sum and a
+gather, all in numpy.
+
+Scale.  Texts are tokenized once and never shuffle.  Their ids (two bytes each
+where the vocabulary allows) are written, counted, and dealt once by range of
+(doc_id, length, hash, row number): ranges come from samples, and since no two
+rows share that key, a doc_id that very many rows share is split like any
+other.  Driver and broadcast see the vocabulary's counts and one total a file
+(at most MAX_FILES).
 """
 
 from __future__ import annotations
@@ -26,16 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, slices, texts
+from .common import discard, saved, slices
 from .encode import encoder
 
 #: Ids of a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 16
-#: Rows of a doc_id range aimed at, and the most ranges.
-RANGE_ROWS, MAX_RANGES = 4096, 20_000
+#: Rows of a file aimed at, and the most files.
+FILE_ROWS, MAX_FILES = 4096, 200_000
 
 _MAGIC = b"TIDS"
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
@@ -77,9 +87,10 @@ def write_block(doc_ids: list, lengths: list[int], ranks: np.ndarray) -> bytes:
     return head + ids.tobytes() + nulls.tobytes() + np.array(lengths, "<u4").tobytes() + pack_ids(ranks)
 
 
-def read_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+def read_block(block) -> tuple[list, np.ndarray, np.ndarray]:
     """doc ids (None where null), lengths and ranks."""
-    if block[:4] != _MAGIC:
+    block = memoryview(block)
+    if bytes(block[:4]) != _MAGIC:
         raise ValueError("not a block of token ids")
     docs, n = struct.unpack_from("<II", block, 4)
     ids = np.frombuffer(block, "<i8", docs, 12)
@@ -88,118 +99,120 @@ def read_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(i) for i, z in zip(ids, nulls)], lengths, unpack_ids(block[12 + 13 * docs :], n)
 
 
-def _encoded(docs: DataFrame, bounds: np.ndarray, path: str, keep_space: bool, end: bytes) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, keep_space)
-        for b in slices(batches, "text"):
-            ids = [x + end for x in enc.encode(texts(b.column("text")))]
-            at = np.searchsorted(bounds, b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
-            small = [np.frombuffer(x, "<u4") for x in ids]
-            small = [x.astype("<u2").tobytes() if len(x) == 0 or x.max() < 0xFFFF else b"\xff\xff" + x.tobytes() for x in small]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(small, pa.binary())], ["bucket", "doc_id", "n", "ids"])
-
-    return docs.mapInArrow(run, "bucket int, doc_id bigint, n bigint, ids binary")
-
-
-def _ids(cell: bytes) -> np.ndarray:
-    """Two bytes an id; 0xFFFF at the front marks four bytes an id."""
-    return np.frombuffer(cell[2:], "<u4") if cell[:2] == b"\xff\xff" else np.frombuffer(cell, "<u2").astype("<u4")
-
-
-def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds each document's start within its range; rows come sorted by range."""
-    last, run = None, 0
-    for b in batches:
-        bucket, n = b.column("bucket").to_numpy(), b.column("n").to_numpy()
-        if len(n) == 0:
-            continue
-        before = np.cumsum(n) - n
-        heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        base = -before[heads]
-        if bucket[0] == last:
-            base[0] += run
-        start = before + np.repeat(base, np.diff(np.r_[heads, len(n)]))
-        last, run = bucket[-1], int(start[-1] + n[-1])
-        yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("doc_id"), pa.array(start, pa.int64()), b.column("n"), b.column("ids")], ["bucket", "doc_id", "start", "n", "ids"])
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
-    for b in batches:
-        for cell in b.column("ids"):
-            c = np.bincount(_ids(cell.as_py()))
-            if len(c) > len(total):
-                total = np.pad(total, (0, len(c) - len(total)))
-            total[: len(c)] += c
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
+def _cells(column: pa.Array, dtype: np.dtype) -> np.ndarray:
+    """All ids of a column of binary cells, in order."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(dtype) if data is not None and off[-1] > off[0] else np.zeros(0, dtype)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, keep_space: bool, end_id: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Write the files; gives the table of blocks, the ranges' starts and the ids by rank.
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, keep_space: bool, end_id: int) -> None:
+    """Write the store of (doc_id, text) to the folder `path`, which must not hold one.
 
-    Rows go in ascending doc_id order, null doc_ids first, equal doc_ids by
-    their ids; a null or empty text has the end id alone.
+    Rows go in ascending doc_id order, null doc_ids first; rows that share a
+    doc_id follow each other, shorter ones first, and stay documents of their
+    own, also if they are equal.  A null or empty text has the end id alone; a
+    very long one is a block of its own.  Of an empty table the store has no
+    blocks.  Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    rows = docs.count()
-    parts = min(MAX_RANGES, max(1, -(-rows // RANGE_ROWS)))
-    bounds = docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if rows and parts > 1 else []
-    bounds = np.unique(np.array(bounds or [], np.float64)).astype(np.int64)
-    encoded = _encoded(docs, bounds, tokenizer, keep_space, np.array([end_id], "<u4").tobytes())
-    ordered = encoded.repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "ids")
-    held = saved(ordered.mapInArrow(_starts, "bucket int, doc_id bigint, start bigint, n bigint, ids binary"))
-
-    counts = held.select("ids").mapInArrow(_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    dtype = encoder(tokenizer, keep_space).dtype
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, keep_space)
+        for b in slices(batches, "text"):
+            ids, off = enc.encode(b.column("text"))
+            ids = np.insert(ids, off[1:], end_id)
+            n = np.diff(off) + 1
+            at = np.r_[0, np.cumsum(n)] * dtype.itemsize
+            cells = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), cells], ["doc_id", "n", "ids"])
+
+    encoded = docs.mapInArrow(encode, "doc_id bigint, n bigint, ids binary")
+    encoded = saved(encoded.select("*", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for b in batches:
+            c = np.bincount(_cells(b.column("ids"), dtype))
+            if len(c) > len(total):
+                total = np.pad(total, (0, len(c) - len(total)))
+            total[: len(c)] += c
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
+
+    counts = encoded.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     by_rank = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.int64)
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
+    spark = docs.sparkSession
+    spark.createDataFrame([(k, int(i)) for k, i in enumerate(by_rank)], "rank bigint, id bigint").coalesce(1).write.parquet(f"{path}/ranks")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, block, start = TaskContext.get().partitionId(), 0, 0
+        keys: list = []
+        lengths: list[int] = []
+        ranks: list[np.ndarray] = []
+        held = 0
+
+        def emit() -> pa.RecordBatch:
+            nonlocal keys, lengths, ranks, held, block, start
+            data = write_block(keys, lengths, np.concatenate(ranks))
+            row = [file, block, start, len(keys), held, data]
+            block, start = block + 1, start + held
+            keys, lengths, ranks, held = [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCK_TYPES)], _BLOCK_NAMES)
+
         for b in batches:
-            out: list[tuple] = []
-            ids: list[np.ndarray] = []
-            keys: list = []
-            held_ids, now, first = 0, None, 0
-            for bucket, doc, start, cell in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "start", "ids"))):
-                x = _ids(cell)
-                if ids and (bucket != now or held_ids + len(x) > BLOCK_IDS):
-                    out.append((now, first, write_block(keys, [len(i) for i in ids], rank[np.concatenate(ids)])))
-                    ids, keys, held_ids = [], [], 0
-                if not ids:
-                    now, first = bucket, start
-                ids.append(x)
+            ids, n = rank[_cells(b.column("ids"), dtype)], b.column("n").to_pylist()
+            at = 0
+            for doc, size in zip(b.column("doc_id").to_pylist(), n):
+                if keys and held + size > BLOCK_IDS:
+                    yield emit()
                 keys.append(doc)
-                held_ids += len(x)
-            if ids:
-                out.append((now, first, write_block(keys, [len(i) for i in ids], rank[np.concatenate(ids)])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "start", "block"])
+                lengths.append(size)
+                ranks.append(ids[at : at + size])
+                at += size
+                held += size
+        if keys:
+            yield emit()
 
-    files = saved(held.mapInArrow(blocks, "bucket int, start bigint, block binary"))
-    totals = held.groupBy("bucket").agg(F.sum("n").alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = saved(totals.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    return files, ranges, by_rank
+    files = min(MAX_FILES, max(1, -(-encoded.count() // FILE_ROWS)))
+    order = [F.col("doc_id").asc_nulls_first(), "n", "h", "row"]
+    dealt = encoded.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
+    dealt.mapInArrow(blocks, "file int, block int, start bigint, docs int, ids bigint, data binary").write.parquet(f"{path}/blocks")
+    discard(encoded)
+    # one row a file: at most MAX_FILES
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    totals = spark.read.parquet(f"{path}/blocks").groupBy("file").agg(F.sum("ids").alias("n"))
+    totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("start")).coalesce(1).write.parquet(f"{path}/files")
 
 
-def read_token_files(files: DataFrame, ranges: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the files."""
-    ids_of = by_rank.astype("<u4")
+_BLOCK_NAMES = ["file", "block", "start", "docs", "ids", "data"]
+_BLOCK_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+
+
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (and the ids) of each document, decoded from the store alone."""
+    ids_of = spark.read.parquet(f"{path}/ranks").orderBy("rank").toPandas()["id"].to_numpy().astype("<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for bucket, start, block in zip(*(b.column(c).to_pylist() for c in ("bucket", "start", "block"))):
-                keys, lengths, ranks = read_block(block)
+            for file, start, data in zip(*(b.column(c) for c in ("file", "start", "data"))):
+                keys, lengths, ranks = read_block(data.as_buffer())
                 ids = ids_of[ranks]
-                at = np.cumsum(lengths) - lengths
-                cols[0] += [bucket] * len(keys)
-                cols[1] += keys
-                cols[2] += (at + start).tolist()
-                cols[3] += lengths.tolist()
-                cols[4] += [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(at, lengths)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.int64()] * 4))], ["bucket", "doc_id", "at", "n_tokens", "ids_crc32"])
-
-    decoded = files.mapInArrow(run, "bucket int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
-    return decoded.join(F.broadcast(ranges), "bucket").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+                end = np.cumsum(lengths)
+                raw = memoryview(ids.tobytes())
+                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(end.tolist(), lengths.tolist())]
+                cols = [pa.array(np.full(len(keys), file.as_py(), np.int32)), pa.array(keys, pa.int64()), pa.array(end - lengths + start.as_py()), pa.array(lengths), pa.array(crc, pa.int64())]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, end], pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(cols, _DOC_NAMES[: len(cols)])
+
+    blocks = spark.read.parquet(f"{path}/blocks").select("file", "start", "data")
+    decoded = blocks.mapInArrow(run, "file int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+    files = spark.read.parquet(f"{path}/files").withColumnRenamed("start", "base")
+    return decoded.join(F.broadcast(files), "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+
+
+_DOC_NAMES = ["file", "doc_id", "at", "n_tokens", "ids_crc32", "ids"]
