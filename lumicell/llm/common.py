@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -54,7 +55,23 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{own}/{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, *partition_by: str) -> DataFrame:
+#: Rows of an Arrow batch between Spark and Python while a table is saved: long texts and sets come in small batches.
+BATCH_ROWS = 1024
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound the rows of Arrow batches for what runs inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))
+
+
+def saved(df: DataFrame) -> DataFrame:
     """Write to the shared folder as Parquet and read back: cuts the lineage,
     survives lost executors and is columnar, unlike checkpoint().
 
@@ -62,10 +79,8 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumicell_path = path
     return out
@@ -80,6 +95,15 @@ def discard(*tables: DataFrame) -> None:
             fs.delete(where, True)
 
 
+#: Tasks that a small table is worked on in, at least.
+LEAST_TASKS = 12
+
+
+def fewer(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """df in no more tasks than `rows` rows are worth, but LEAST_TASKS: neighbouring partitions go together without a shuffle."""
+    return df.coalesce(max(LEAST_TASKS, -(-rows // per_task)))
+
+
 def ascii_lower(col):
     """Lower-case A-Z only.  A text without multi-byte characters takes the
     fast built-in; only others pay for the character map."""

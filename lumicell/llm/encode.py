@@ -23,7 +23,7 @@ import pyarrow.compute
 from . import tokens
 
 #: Slots of a worker's table (a power of two), bytes of the longest piece in it, and ids held before it is emptied.
-SLOT_BITS, KEPT_BYTES, POOL_IDS = 22, 48, 16 << 20
+SLOT_BITS, KEPT_BYTES, POOL_IDS = 21, 48, 8 << 20
 #: Pieces that go to the library as one text, and how few go one by one if that can't be cut again.
 JOINED, ALONE = 4096, 8
 
