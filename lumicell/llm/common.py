@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -59,16 +60,24 @@ def scratch_path(spark: SparkSession) -> str:
 BATCH_ROWS = 1024
 
 
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> int:
+    """Bound the rows of Arrow batches in this session from now on; gives the setting before."""
+    before = int(spark.conf.get(_BATCH_KEY))
+    spark.conf.set(_BATCH_KEY, str(min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS))
+    return before
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Bound the rows of Arrow batches for what runs inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = int(spark.conf.get(key))
-    spark.conf.set(key, str(min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS))
+    before = bound_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(key, str(before))
+        spark.conf.set(_BATCH_KEY, str(before))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -117,8 +126,22 @@ def crc_mod(col, m: int):
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(m))
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a worker process outlives its tasks, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds bounded rows and bytes of a column."""
+    yield from _sliced(batches, column, rows, size)
+    _give_back()
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], column: str, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, a = batch.num_rows, 0
         if n == 0:
