@@ -10,6 +10,10 @@ executor costs one stage's tasks at most.
 What holds for every stage: each row is judged by itself, also where doc_id is
 null or repeats; other columns are carried along, whatever their names; very
 long texts are read whole; an empty table stays empty.
+
+A stage sets spark.sql.execution.arrow.maxRecordsPerBatch of the session to 1024
+at most: at Spark's default of 10,000 rows a batch of documents takes tens of
+megabytes on either side of each of an executor's cores.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumicell.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing
-from lumicell.llm.common import crc_mod, saved, table
+from lumicell.llm.common import bound_batches, crc_mod, saved, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The model is learned from the input's own rows with a lang; if there are
     none, only documents without letters go.
     """
+    bound_batches(spark)
     return language_id.keep_identified(docs, language_id.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1)))
 
 
@@ -36,6 +41,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null and empty texts are equal.
     """
+    bound_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
@@ -44,16 +50,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without words link with nothing and stay.
     """
+    bound_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; null and empty texts and items match nothing."""
+    bound_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens; a null or empty text has its end id alone."""
+    bound_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
