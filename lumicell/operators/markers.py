@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import adjust_bh, normal_tail, ratio, variance
+from ..functions.stats import adjust_bh, hypergeometric_tail, normal_tail, ratio, variance
 from ..model import CellData
 from .cells import gene_moments, sample_order
 
@@ -92,12 +92,15 @@ def welch(d: CellData, groupby: str) -> DataFrame:
     return x.select(groupby, "gene", ratio(F.col("mean") - o1 / no, F.sqrt(se)).alias("t"), F.col("mean").alias("mean_in"), (o1 / no).alias("mean_out"))
 
 
-def find_all_markers(d: CellData, groupby: str, min_log2fc: float = 0.05, min_pct: float = 0.001, max_padj: float = 0.9) -> DataFrame:
-    """Candidates by detection and fold change, tested by rank sums and adjusted among themselves."""
+def find_all_markers(d: CellData, groupby: str, min_fold_change: float = 1.5, min_pct: float = 0.1, max_pvalue: float = 0.05) -> DataFrame:
+    """Candidates by detection and fold change, tested by rank sums, adjusted among a group's candidates, and scored:
+    -log10(fdr) times log2 fold change times detection."""
+    if min_fold_change < 1:
+        raise ValueError("min_fold_change must be 1 at least")
     x = rank_sums(d, groupby).withColumn("pct_in", F.col("nnz_in") / F.col("n_in")).withColumn("pct_out", F.col("nnz_out") / F.col("n_out"))
-    x = x.where((F.col("pct_in") >= min_pct) & (F.col("log2fc") >= min_log2fc)).withColumn("pval", normal_tail(F.col("z")))
-    x = adjust_bh(x, "pval", "padj", [groupby], ["gene"])
-    return x.where(F.col("padj") <= max_padj).select(groupby, "gene", "pct_in", "pct_out", "log2fc", "padj")
+    x = x.where((F.col("pct_in") >= min_pct) & (F.col("log2fc") >= F.log2(F.lit(float(min_fold_change))))).withColumn("pvalue", normal_tail(F.col("z")))
+    x = adjust_bh(x, "pvalue", "fdr", [groupby], ["gene"]).where(F.col("fdr") <= max_pvalue)
+    return x.select(groupby, "gene", "pct_in", "pct_out", "log2fc", "pvalue", "fdr", (-F.log10(F.col("fdr") + 1e-300) * F.col("log2fc") * F.col("pct_in")).alias("score"))
 
 
 def marker_specificity(d: CellData, groupby: str) -> DataFrame:
@@ -140,7 +143,8 @@ def control_genes(d: CellData, gene_key: str, ctrl_size: int = 50, n_bins: int =
     sizes = others.groupBy(gene_key, "bin").agg(F.max("_m").alias("_m"))
     own = g.where("_own is not null").withColumnRenamed("_own", gene_key).join(sizes, [gene_key, "bin"])
     run = F.explode(F.sequence(F.lit(0), F.least(F.lit(ctrl_size), F.col("_m")).cast("int") - 1))
-    taken = own.select(gene_key, "bin", "_m", F.xxhash64(F.lit(seed), "gene").alias("_h"), run.alias("_j")).select(gene_key, "bin", F.pmod(F.pmod("_h", "_m") + F.col("_j"), "_m").cast("int").alias("_at")).distinct()
+    place = F.conv(F.substring(sample_order(seed, "gene"), 1, 8), 16, 10).cast("bigint")
+    taken = own.select(gene_key, "bin", "_m", place.alias("_h"), run.alias("_j")).select(gene_key, "bin", F.pmod(F.pmod("_h", "_m") + F.col("_j"), "_m").cast("int").alias("_at")).distinct()
     return taken.join(others.drop("_m"), [gene_key, "bin", "_at"]).select(gene_key, "gene")
 
 
@@ -194,17 +198,24 @@ def perturbation_signature(d: CellData, key: str, reference: str) -> DataFrame:
     return x.select(key, "gene", (F.col("mean") - F.col("rm")).alias("shift"), F.log2((F.col("mean") + 1e-9) / (F.col("rm") + 1e-9)).alias("log2fc"))
 
 
-def set_enrichment(d: CellData, groupby: str, gene_key: str, n_top: int = 50) -> DataFrame:
-    """Overlap and odds ratio (half added to each cell) of each group's top genes with each set."""
+def set_enrichment(d: CellData, groupby: str, gene_key: str, n_top: int = 200) -> DataFrame:
+    """Fisher's one-sided test of each group's top genes against each set, adjusted over all pairs.
+
+    The odds ratio is that of the table, infinite where a cell off its diagonal is 0 and the overlap isn't.
+    """
     top = rank_genes_groups(d, groupby, n_top).select(groupby, "gene").join(d.var.select("gene", gene_key), "gene")
     a = top.groupBy(groupby, gene_key).agg(F.count(F.lit(1)).alias("a"))
-    k = d.var.groupBy(gene_key).agg(F.count(F.lit(1)).alias("k"))
+    k = d.var.where(F.col(gene_key).isNotNull()).groupBy(gene_key).agg(F.count(F.lit(1)).alias("k"))
+    sets = k.agg(F.collect_list(F.struct(gene_key, "k")).alias("_sets"), F.lit(1).alias("_one"))
     n = d.var.agg(F.count(F.lit(1)).alias("n"))
     m = top.groupBy(groupby).agg(F.count(F.lit(1)).alias("m"))
-    x = a.join(F.broadcast(k), gene_key).join(F.broadcast(m), groupby).join(F.broadcast(n))
+    every = m.join(F.broadcast(n)).join(F.broadcast(sets)).select(groupby, "m", "n", F.inline("_sets"))  # groups and sets are few
+    x = every.join(a, [groupby, gene_key], "left").fillna(0, ["a"])
     b, c = F.col("m") - F.col("a"), F.col("k") - F.col("a")
     dd = F.col("n") - F.col("m") - F.col("k") + F.col("a")
-    return x.select(groupby, gene_key, F.col("a").alias("overlap"), ((F.col("a") + 0.5) * (dd + 0.5) / ((b + 0.5) * (c + 0.5))).alias("odds_ratio"))
+    odds = F.when(b * c > 0, F.col("a") * dd / (b * c)).otherwise(F.when(F.col("a") > 0, F.lit(float("inf"))).otherwise(0.0))
+    x = x.select(groupby, gene_key, F.col("a").alias("overlap"), odds.alias("odds_ratio"), F.when(F.col("a") == 0, 1.0).otherwise(hypergeometric_tail(*map(F.col, "amkn"))).alias("pvalue"))
+    return adjust_bh(x, "pvalue", "fdr", [], [groupby, gene_key])
 
 
 def marker_overlap(markers: DataFrame, reference: DataFrame, groupby: str, set_key: str) -> DataFrame:
@@ -220,18 +231,35 @@ def proportions(obs: DataFrame, groupby: str, condition: str) -> DataFrame:
     return x.withColumn("proportion", F.col("n") / F.sum("n").over(Window.partitionBy(condition)))
 
 
-def composition(obs: DataFrame, groupby: str, condition: str, reference: str) -> DataFrame:
-    """Proportion, fold and two-proportion z of each condition against the reference."""
+def composition(obs: DataFrame, groupby: str, condition: str, reference: str, method: str = "dirichlet") -> DataFrame:
+    """Proportion, fold, two-proportion z, p and adjusted p of each condition and group against the reference.
+
+    p: "dirichlet" is the G test of the group against all others with Yates'
+    correction, "prop_test" the two-proportion z test; 1 where a margin is 0.
+    """
+    if method not in ("dirichlet", "prop_test"):
+        raise ValueError(f"method must be dirichlet or prop_test, not {method!r}")
     sizes = obs.groupBy(condition).agg(F.count(F.lit(1)).alias("n"))
     x = obs.groupBy(condition, groupby).agg(F.count(F.lit(1)).alias("k"))
     # every group in every condition: one that a condition lacks has 0 cells there
     x = sizes.join(F.broadcast(obs.select(groupby).distinct())).join(x, [condition, groupby], "left").fillna(0, ["k"])
     r = x.where(F.col(condition) == reference).select(groupby, F.col("k").alias("rk"), F.col("n").alias("rn"))
     y = x.where(F.col(condition) != reference).join(F.broadcast(r), groupby)
-    p, q = F.col("k") / F.col("n"), F.col("rk") / F.col("rn")
-    pool = (F.col("k") + F.col("rk")) / (F.col("n") + F.col("rn"))
-    se = F.sqrt(pool * (1 - pool) * (1 / F.col("n") + 1 / F.col("rn")))
-    return y.select(condition, groupby, p.alias("proportion"), ratio(p, q).alias("fold"), ratio(p - q, se).alias("z"))
+    k, n, rk, rn = (F.col(c) for c in ("k", "n", "rk", "rn"))
+    pool = (k + rk) / (n + rn)
+    z = ratio(k / n - rk / rn, F.sqrt(pool * (1 - pool) * (1 / n + 1 / rn)))
+    if method == "dirichlet":
+        off = k - n * pool  # the same in all four cells, but for its sign
+        held = F.signum(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0))
+        cells = [(n * pool, 1), (n * (1 - pool), -1), (rn * pool, -1), (rn * (1 - pool), 1)]
+        term = lambda e, sign: F.when(e + sign * held > 0, (e + sign * held) * F.log((e + sign * held) / e)).otherwise(0.0)
+        g = 2 * sum((term(e, s) for e, s in cells), F.lit(0.0))
+        p = normal_tail(F.sqrt(F.greatest(g, F.lit(0.0))))
+    else:
+        p = normal_tail(z)
+    p = F.when((pool > 0) & (pool < 1), p).otherwise(1.0)
+    y = y.select(condition, groupby, (k / n).alias("proportion"), ratio(k / n, rk / rn).alias("fold"), z.alias("z"), p.alias("pvalue"))
+    return adjust_bh(y, "pvalue", "fdr", [], [condition, groupby])
 
 
 def communication(d: CellData, groupby: str, pairs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.stats import ratio
 
 
@@ -74,7 +75,7 @@ def tpm(counts: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def demultiplex(tags: DataFrame, min_count: int, margin: float) -> DataFrame:
-    """Call of each cell from (cell, tag, n): negative, singlet tag, or doublet where the
+    """Call of each cell from (cell, tag, n): negative, single tag, or doublet where the
     second tag has more than a share `margin` of the first."""
     w = Window.partitionBy("cell").orderBy(F.desc("n"), "tag")
     x = tags.withColumn("k", F.row_number().over(w)).groupBy("cell").agg(
@@ -99,8 +100,7 @@ def descendants(edges: DataFrame, rounds: int = 32) -> DataFrame:
     for _ in range(rounds):
         step = reach.select(F.col("term").alias("ancestor"), F.col("ancestor").alias("top"))
         reach = reach.unionByName(reach.join(step, "ancestor").select("term", F.col("top").alias("ancestor"))).distinct()
-        if reach.sparkSession.sparkContext.getCheckpointDir():
-            reach = reach.checkpoint()
+        reach = cut(reach)
         m = reach.count()
         if m == n:
             break

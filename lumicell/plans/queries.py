@@ -28,6 +28,11 @@ _NORM = _DATA + ", norm AS (SELECT cell, gene, ln(1 + value * 10000 / sum(value)
 _MOM = """, mom AS (SELECT gene, n, count(*) AS nnz, sum(value) AS s1, sum(value * value) AS s2, sum(value) / n AS mean,
   greatest(sum(value * value) - sum(value) * sum(value) / n, 0) / n AS v0, greatest(sum(value * value) - sum(value) * sum(value) / n, 0) / (n - 1) AS v1
   FROM {t}, (SELECT count(*) AS n FROM obs) GROUP BY gene, n)"""
+_EMOM = """, emom AS (SELECT gene, n, nnz, s1, s2, s1 / n AS mean, greatest(s2 - s1 * s1 / n, 0) / n AS v0 FROM (SELECT v.gene, count(value) AS nnz, coalesce(sum(value), 0) AS s1,
+  coalesce(sum(value * value), 0) AS s2 FROM var v LEFT JOIN {t} c ON c.gene = v.gene GROUP BY 1), (SELECT count(*) AS n FROM obs))"""
+_EVERY = """, gr AS (SELECT {g}, count(*) AS n FROM obs GROUP BY 1), ge AS (SELECT gene, sum(value) AS t1, sum(value * value) AS t2 FROM counts GROUP BY 1),
+  gs AS (SELECT {g}, gene, sum(value) AS s1, sum(value * value) AS s2 FROM counts JOIN obs USING (cell) GROUP BY 1, 2),
+  em AS (SELECT gr.{g}, ge.gene, n, t1, t2, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2, coalesce(s1, 0) / n AS mean FROM gr CROSS JOIN ge LEFT JOIN gs ON gs.{g} = gr.{g} AND gs.gene = ge.gene)"""
 _GMOM = """, gmom AS (SELECT {g}, gene, n_cells AS n, count(*) AS nnz, sum(value) AS s1, sum(value * value) AS s2, sum(value) / n_cells AS mean,
   greatest(sum(value * value) - sum(value) * sum(value) / n_cells, 0) / (n_cells - 1) AS v1
   FROM {t} JOIN obs USING (cell) JOIN (SELECT {g}, count(*) AS n_cells FROM obs GROUP BY 1) USING ({g}) GROUP BY {g}, gene, n_cells)"""
@@ -272,22 +277,22 @@ def pseudobulk(spark, d):
     return cells.pseudobulk(tables.from_tables(spark, d), ["condition", "batch"]).withColumnRenamed("group", "g")
 
 
-for _method, _score in (("variance", "v0"), ("dispersion", "v0 / mean"), ("cv", "sqrt(v0) / mean"), ("dropout", "1 - nnz / n"), ("mean", "mean")):
+for _method, _score in (("variance", "v0"), ("dispersion", "v0 / CASE WHEN mean <> 0 THEN mean ELSE 1 END"), ("cv", "sqrt(v0) / CASE WHEN mean <> 0 THEN mean ELSE 1 END"), ("dropout", "1 - nnz / n"), ("mean", "mean")):
 
     def _rank(spark, d, method=_method):
         return cells.rank_genes(tables.from_tables(spark, d), method).select("gene", "rank", "score")
 
     _rank.__name__ = f"rank_genes_{_method}"
     query(
-        f"{_DATA}{_MOM.format(t='counts')}--\nSELECT gene, score, row_number() OVER (ORDER BY score DESC, gene) AS rank FROM (SELECT gene, round({_score}, 9) AS score FROM mom) QUALIFY rank <= 50",
+        f"{_DATA}{_EMOM.format(t='counts')}--\nSELECT gene, score, row_number() OVER (ORDER BY score DESC, gene) AS rank FROM (SELECT gene, round({_score}, 9) AS score FROM emom)",
         "gene rank",
         "score",
     )(_rank)
 
 
 @query(
-    f"""{_DATA}{_MOM.format(t='counts')}--
-    SELECT o.cell, m.gene, greatest(-10, least(10, (coalesce(value, 0) - mean) / CASE WHEN v0 > 0 THEN sqrt(v0) ELSE 1 END)) AS z FROM obs o CROSS JOIN (SELECT * FROM mom WHERE gene < 4) m LEFT JOIN counts c ON c.cell = o.cell AND c.gene = m.gene""",
+    f"""{_DATA}{_EMOM.format(t='counts')}, m AS (SELECT gene, mean, CASE WHEN v0 > 0 THEN sqrt(v0) ELSE 1 END AS sd FROM emom)--
+    SELECT cell, gene, greatest(-10, least(10, (value - mean) / sd)) AS z FROM counts SEMI JOIN obs USING (cell) JOIN m USING (gene) UNION ALL SELECT NULL, gene, greatest(-10, least(10, -mean / sd)) FROM m""",
     "cell gene",
     "z",
 )
@@ -389,7 +394,7 @@ def cell_index_count(spark, d):
 @query(
     f"""{_NORM}{_MOM.format(t='norm')}, m AS (SELECT gene, ln(CASE WHEN v0 > 0 THEN v0 / mean END) AS disp, ln(1 + mean) AS lm FROM mom WHERE mean > 0), l AS (SELECT min(lm) AS lo, max(lm) AS hi FROM m),
     b AS (SELECT gene, disp, CASE WHEN hi > lo THEN least(19, floor((lm - lo) / ((hi - lo) / 20))) ELSE 0 END::INT AS bin FROM m, l), s AS (SELECT bin, avg(disp) AS bm, stddev_pop(disp) AS bs FROM b GROUP BY 1)--
-    SELECT gene, bin, round(CASE WHEN bs > 1e-12 THEN (disp - bm) / bs ELSE 0 END, 6) AS norm_disp FROM b JOIN s USING (bin) ORDER BY 3 DESC NULLS LAST, 1 LIMIT 50""",
+    SELECT gene, bin, round(CASE WHEN bs > 1e-12 THEN (disp - bm) / bs ELSE 0 END, 6) AS norm_disp FROM b JOIN s USING (bin) ORDER BY 3 DESC NULLS LAST, 1 LIMIT 2000""",
     "gene bin",
     "norm_disp",
 )
@@ -400,7 +405,7 @@ def hvg_seurat(spark, d):
 @query(
     f"""{_DATA}{_MOM.format(t='counts')}, b AS (SELECT gene, log10(v1 / mean) AS disp, (ntile(20) OVER (ORDER BY mean, gene) - 1)::INT AS bin FROM mom WHERE mean > 0 AND v1 > 0), m AS (SELECT bin, median(disp) AS med, count(*) AS n FROM b GROUP BY 1),
     e AS (SELECT *, abs(disp - med) AS dev FROM b JOIN m USING (bin)), a AS (SELECT bin, median(dev) AS mad FROM e GROUP BY 1)--
-    SELECT gene, bin, round(CASE WHEN n >= 2 AND mad > 1e-12 THEN (disp - med) / mad ELSE 0 END, 6) AS norm_disp FROM e JOIN a USING (bin) ORDER BY 3 DESC, 1 LIMIT 50""",
+    SELECT gene, bin, round(CASE WHEN n >= 2 AND mad > 1e-12 THEN (disp - med) / mad ELSE 0 END, 6) AS norm_disp FROM e JOIN a USING (bin) ORDER BY 3 DESC, 1 LIMIT 2000""",
     "gene bin",
     "norm_disp",
 )
@@ -424,9 +429,9 @@ def rank_genes_groups(spark, d):
 
 
 @query(
-    f"""{_DATA}{_GMOM.format(t='counts', g='cluster')}, t AS (SELECT gene, sum(value) AS t1, sum(value * value) AS t2, (SELECT count(*) FROM obs) AS nn FROM counts GROUP BY 1),
-    j AS (SELECT cluster, gene, n, mean, v1, nn - n AS no, (t1 - s1) / (nn - n) AS mo, greatest(t2 - s2 - (t1 - s1) * (t1 - s1) / (nn - n), 0) / (nn - n - 1) AS vo FROM gmom JOIN t USING (gene))--
-    SELECT cluster, gene, (mean - mo) / sqrt(v1 / n + vo / no) AS t, mean AS mean_in, mo AS mean_out FROM j""",
+    f"""{_DATA}{_EVERY.format(g='cluster')}, j AS (SELECT *, (SELECT count(*) FROM obs) - n AS no, greatest(s2 - s1 * s1 / n, 0) / (n - 1) AS v1, t1 - s1 AS o1, t2 - s2 AS o2 FROM em),
+    k AS (SELECT *, v1 / n + greatest(o2 - o1 * o1 / no, 0) / (no - 1) / no AS se FROM j)--
+    SELECT cluster, gene, CASE WHEN sqrt(se) <> 0 THEN (mean - o1 / no) / sqrt(se) END AS t, mean AS mean_in, o1 / no AS mean_out FROM k""",
     "cluster gene",
     "t mean_in mean_out",
 )
@@ -435,13 +440,14 @@ def welch_test(spark, d):
 
 
 @query(
-    f"""{_DATA}{_RANKS}, p AS (SELECT *, nnz_in / n_in AS pct_in, nnz_out / n_out AS pct_out, {_P} AS pval FROM rs WHERE nnz_in / n_in >= 0.001 AND log2fc >= 0.05), q AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY pval, gene) AS r, count(*) OVER (PARTITION BY cluster) AS m FROM p),
-    a AS (SELECT *, least(1.0, min(pval * m / r) OVER (PARTITION BY cluster ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS padj FROM q)--\nSELECT * FROM a WHERE padj <= 1.0""",
+    f"""{_DATA}{_RANKS}, p AS (SELECT *, nnz_in / n_in AS pct_in, nnz_out / n_out AS pct_out, {_P} AS pvalue FROM rs WHERE nnz_in / n_in >= 0.001 AND log2fc >= log2(1.05)), q AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY pvalue, gene) AS r, count(*) OVER (PARTITION BY cluster) AS m FROM p),
+    a AS (SELECT *, least(1.0, min(pvalue * m / r) OVER (PARTITION BY cluster ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM q)--\nSELECT *, -log10(fdr + 1e-300) * log2fc * pct_in AS score FROM a WHERE fdr <= 0.8""",
     "cluster gene",
-    "pct_in pct_out log2fc padj",
+    "pct_in pct_out log2fc pvalue fdr score",
 )
 def find_all_markers(spark, d):
-    return markers.find_all_markers(tables.from_tables(spark, d), "cluster", max_padj=1.0)
+    """Bounds that the sparse counts of these tables reach; the defaults are stricter."""
+    return markers.find_all_markers(tables.from_tables(spark, d), "cluster", min_fold_change=1.05, min_pct=0.001, max_pvalue=0.8)
 
 
 @query(
@@ -463,8 +469,17 @@ def dotplot(spark, d):
     return markers.dotplot(_norm(spark, d), "cluster", "gset")
 
 
-_SCORE = f"""{_NORM}, k AS (SELECT gset, count(*) AS k FROM var GROUP BY 1), x AS (SELECT cell, gset, sum(value) AS s FROM norm JOIN var USING (gene) GROUP BY 1, 2),
-    sc AS (SELECT cell, gset, s / k - sum(s) OVER (PARTITION BY cell) / (SELECT count(*) FROM var) AS score FROM x JOIN k USING (gset))"""
+_SCORE = f"""{_NORM}{_EMOM.format(t='norm')}, nv AS (SELECT count(*) AS n FROM var), bn AS (SELECT least(25, n) AS bins, greatest(1, n // least(25, n)) AS width FROM nv),
+    g AS (SELECT gene, least(bins - 1, (row_number() OVER (ORDER BY round(mean, 9), gene) - 1) // width) AS bin FROM emom, bn), own AS (SELECT g.gene, bin, gset FROM g JOIN var USING (gene)),
+    sets AS (SELECT DISTINCT gset FROM var WHERE gset IS NOT NULL),
+    others AS (SELECT sets.gset, own.bin, own.gene, row_number() OVER (PARTITION BY sets.gset, own.bin ORDER BY md5('0:' || sets.gset || ':' || own.gene), own.gene) - 1 AS place, count(*) OVER (PARTITION BY sets.gset, own.bin) AS m
+      FROM own JOIN sets ON own.gset IS DISTINCT FROM sets.gset),
+    sz AS (SELECT gset, bin, max(m) AS m FROM others GROUP BY 1, 2),
+    taken AS (SELECT DISTINCT gset, bin, (h % m + j) % m AS place FROM (SELECT own.gset, own.bin, sz.m, ('0x' || substr(md5('0:' || own.gene), 1, 8))::BIGINT AS h, unnest(range(0, least(50, sz.m))) AS j FROM own JOIN sz ON sz.gset = own.gset AND sz.bin = own.bin)),
+    ctrl AS (SELECT others.gset, others.gene FROM taken JOIN others ON others.gset = taken.gset AND others.bin = taken.bin AND others.place = taken.place),
+    w AS (SELECT gset, gene, 1.0 / count(*) OVER (PARTITION BY gset) AS w FROM own WHERE gset IS NOT NULL UNION ALL SELECT gset, gene, -1.0 / count(*) OVER (PARTITION BY gset) FROM ctrl),
+    st AS (SELECT cell, w.gset, sum(value * w) AS s FROM norm JOIN w USING (gene) GROUP BY 1, 2),
+    sc AS (SELECT obs.cell, sets.gset, coalesce(s, 0) AS score FROM obs CROSS JOIN sets LEFT JOIN st ON st.cell = obs.cell AND st.gset = sets.gset)"""
 
 
 @query(f"{_SCORE}--\nSELECT * FROM sc", "cell gset", "score")
@@ -492,20 +507,18 @@ def variance_partition(spark, d):
     return markers.variance_partition(tables.from_tables(spark, d), "batch")
 
 
-@query(
-    f"""{_DATA}{_MOM.format(t='counts')}--
-    SELECT a.gene, b.gene AS g2, (sum(a.value * b.value) / ma.n - ma.mean * mb.mean) / sqrt(ma.v0 * mb.v0) AS r FROM counts a JOIN counts b ON a.cell = b.cell AND a.gene < b.gene JOIN mom ma ON ma.gene = a.gene JOIN mom mb ON mb.gene = b.gene
-    WHERE a.gene < 40 AND b.gene < 40 GROUP BY a.gene, b.gene, ma.n, ma.mean, mb.mean, ma.v0, mb.v0""",
-    "gene g2",
-    "r",
-)
+_TOPVAR = """, tv AS (SELECT * FROM emom ORDER BY round(v0, 9) DESC, gene LIMIT {n}), met AS (SELECT a.gene, b.gene AS g2, sum(a.value * b.value) AS sxy FROM (SELECT c.* FROM counts c SEMI JOIN obs USING (cell) SEMI JOIN tv USING (gene)) a
+    JOIN (SELECT c.* FROM counts c SEMI JOIN tv USING (gene)) b ON a.cell = b.cell AND a.gene < b.gene GROUP BY 1, 2),
+    cr AS (SELECT a.gene, b.gene AS g2, CASE WHEN a.v0 * b.v0 > 0 THEN (coalesce(sxy, 0) / a.n - a.mean * b.mean) / sqrt(a.v0 * b.v0) END AS r FROM tv a JOIN tv b ON a.gene < b.gene LEFT JOIN met ON met.gene = a.gene AND met.g2 = b.gene)"""
+
+
+@query(f"{_DATA}{_EMOM.format(t='counts')}{_TOPVAR.format(n=50)}--\nSELECT * FROM cr", "gene g2", "r")
 def correlation_matrix(spark, d):
     return markers.gene_correlation(tables.from_tables(spark, d))
 
 
 @query(
-    f"""{_DATA}{_GMOM.format(t='counts', g='condition')}--\nSELECT a.condition, a.gene, a.mean - coalesce(b.mean, 0) AS shift, log2((a.mean + 1e-9) / (coalesce(b.mean, 0) + 1e-9)) AS log2fc
-    FROM gmom a LEFT JOIN (SELECT * FROM gmom WHERE condition = 'F') b USING (gene) WHERE a.condition <> 'F'""",
+    f"""{_DATA}{_EVERY.format(g='condition')}--\nSELECT a.condition, a.gene, a.mean - b.mean AS shift, log2((a.mean + 1e-9) / (b.mean + 1e-9)) AS log2fc FROM em a JOIN em b ON b.gene = a.gene AND b.condition = 'F' WHERE a.condition <> 'F'""",
     "condition gene",
     "shift log2fc",
 )
@@ -516,11 +529,18 @@ def perturbation_signature(spark, d):
 _TOP = f"""{_DATA}{_RANKS}, p AS (SELECT cluster, gene, row_number() OVER (PARTITION BY cluster ORDER BY round(z, 6) DESC, gene) AS rank FROM rs QUALIFY rank <= 50)"""
 
 
+_LC = "lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0)"
+
+
 @query(
-    f"""{_TOP}, t AS (SELECT cluster, gset FROM p JOIN var USING (gene)), a AS (SELECT cluster, gset, count(*) AS a FROM t GROUP BY 1, 2), k AS (SELECT gset, count(*) AS k FROM var GROUP BY 1), m AS (SELECT cluster, count(*) AS m FROM t GROUP BY 1)--
-    SELECT cluster, gset, a AS overlap, (a + 0.5) * (n - m - k + a + 0.5) / ((m - a + 0.5) * (k - a + 0.5)) AS odds_ratio FROM a JOIN k USING (gset) JOIN m USING (cluster), (SELECT count(*) AS n FROM var)""",
+    f"""{_TOP.replace("rank <= 50", "rank <= 200")}, t AS (SELECT cluster, gset FROM p JOIN var USING (gene)), a AS (SELECT cluster, gset, count(*) AS a FROM t GROUP BY 1, 2), k AS (SELECT gset, count(*) AS k FROM var WHERE gset IS NOT NULL GROUP BY 1), m AS (SELECT cluster, count(*) AS m FROM t GROUP BY 1),
+    e AS (SELECT m.cluster, k.gset, coalesce(a, 0) AS a, m, k, n, m - coalesce(a, 0) AS b, k - coalesce(a, 0) AS c, n - m - k + coalesce(a, 0) AS dd FROM m CROSS JOIN k CROSS JOIN (SELECT count(*) AS n FROM var) LEFT JOIN a ON a.cluster = m.cluster AND a.gset = k.gset),
+    f AS (SELECT cluster, gset, a AS overlap, CASE WHEN b * c > 0 THEN a * dd / (b * c) WHEN a > 0 THEN 'Infinity'::DOUBLE ELSE 0 END AS odds_ratio,
+      CASE WHEN a = 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(a, least(m, k) + 1), lambda i: exp({_LC.format(n='k', k='i')} + {_LC.format(n='(n - k)', k='(m - i)')} - ({_LC.format(n='n', k='m')}))))) END AS pvalue FROM e),
+    r AS (SELECT *, row_number() OVER (ORDER BY pvalue, cluster, gset) AS r, count(*) OVER () AS nt FROM f)--
+    SELECT *, least(1.0, min(pvalue * nt / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM r""",
     "cluster gset overlap",
-    "odds_ratio",
+    "odds_ratio pvalue fdr",
 )
 def gene_set_enrichment(spark, d):
     return markers.set_enrichment(tables.from_tables(spark, d), "cluster", "gset")
@@ -541,12 +561,21 @@ def cell_type_proportions(spark, d):
     return markers.proportions(tables.from_tables(spark, d).obs, "cluster", "condition")
 
 
-@query(
-    f"""{_DATA}, x AS (SELECT condition, cluster, count(*) AS k, sum(count(*)) OVER (PARTITION BY condition) AS n FROM obs GROUP BY 1, 2), r AS (SELECT cluster, k AS rk, n AS rn FROM x WHERE condition = 'F'), y AS (SELECT *, (k + rk) / (n + rn) AS pool FROM x JOIN r USING (cluster) WHERE condition <> 'F')--
-    SELECT condition, cluster, k / n AS proportion, (k / n) / (rk / rn) AS fold, (k / n - rk / rn) / sqrt(pool * (1 - pool) * (1 / n + 1 / rn)) AS z FROM y""",
-    "condition cluster",
-    "proportion fold z",
-)
+_COMP = f"""{_DATA}, sz AS (SELECT condition, count(*) AS n FROM obs GROUP BY 1), x AS (SELECT sz.condition, cl.cluster, n, coalesce(k, 0) AS k FROM sz CROSS JOIN (SELECT DISTINCT cluster FROM obs) cl LEFT JOIN (SELECT condition, cluster, count(*) AS k FROM obs GROUP BY 1, 2) c ON c.condition = sz.condition AND c.cluster = cl.cluster),
+    y AS (SELECT a.condition, a.cluster, a.k, a.n, b.k AS rk, b.n AS rn, (a.k + b.k) / (a.n + b.n) AS pool FROM x a JOIN x b ON b.cluster = a.cluster AND b.condition = 'F' WHERE a.condition <> 'F'),
+    zz AS (SELECT *, CASE WHEN sqrt(pool * (1 - pool) * (1 / n + 1 / rn)) <> 0 THEN (k / n - rk / rn) / sqrt(pool * (1 - pool) * (1 / n + 1 / rn)) END AS z, sign(k - n * pool) * greatest(abs(k - n * pool) - 0.5, 0) AS h FROM y),
+    tt AS (SELECT *, [n * pool + h, n * (1 - pool) - h, rn * pool - h, rn * (1 - pool) + h] AS o, [n * pool, n * (1 - pool), rn * pool, rn * (1 - pool)] AS e FROM zz),
+    gg AS (SELECT *, sqrt(greatest(0, 2 * list_sum(list_transform(list_zip(o, e), lambda q: CASE WHEN q[1] > 0 THEN q[1] * ln(q[1] / q[2]) ELSE 0 END)))) AS g FROM tt),
+    pp AS (SELECT condition, cluster, k / n AS proportion, CASE WHEN rk <> 0 THEN (k / n) / (rk / rn) END AS fold, z, CASE WHEN pool > 0 AND pool < 1 THEN {{p}} ELSE 1 END AS pvalue FROM gg),
+    qq AS (SELECT *, row_number() OVER (ORDER BY pvalue, condition, cluster) AS r, count(*) OVER () AS m FROM pp)--\nSELECT *, least(1.0, min(pvalue * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM qq"""
+
+
+@query(_COMP.format(p=_P), "condition cluster", "proportion fold z pvalue fdr")
+def composition_prop_test(spark, d):
+    return markers.composition(tables.from_tables(spark, d).obs, "cluster", "condition", "F", "prop_test")
+
+
+@query(_COMP.format(p=_TAIL.format(z="g", t="(1 / (1 + 0.2316419 * g))")), "condition cluster", "proportion fold z pvalue fdr")
 def composition_analysis(spark, d):
     return markers.composition(tables.from_tables(spark, d).obs, "cluster", "condition", "F")
 
