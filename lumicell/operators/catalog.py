@@ -89,8 +89,10 @@ def summary(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_samples"), F.count_if(ok).alias("n_success"), *distinct, F.sum(F.when(ok, F.col("n_cells"))).alias("total_cells"))
 
 
-def top_series(df: DataFrame, n: int = 10, min_samples: int = 3) -> DataFrame:
-    """Series with most cells among those with enough successful samples."""
+def top_series(df: DataFrame, n: int = 10, min_samples: int = 3, organism: str | None = None) -> DataFrame:
+    """Series with most cells among those with enough successful samples, of an organism if one is given."""
+    if organism is not None:
+        df = df.where(contains("organism", organism))
     out = df.where(F.col("status") == SUCCESS).groupBy("gse_id").agg(F.count(F.lit(1)).alias("n_samples"), F.sum("n_cells").alias("total_cells"), F.avg("mapping_rate").alias("mean_mapping_rate"))
     return out.where(F.col("n_samples") >= min_samples).orderBy(F.desc("total_cells"), "gse_id").limit(n)
 
@@ -103,3 +105,31 @@ def quality_tiers(df: DataFrame) -> DataFrame:
     total = ok.agg(F.count(F.lit(1)).alias("total"))
     out = tiers.join(found, "tier", "left").join(F.broadcast(total))
     return out.select("tier", F.coalesce("n", F.lit(0)).alias("n"), F.round(100 * F.coalesce("n", F.lit(0)) / F.greatest("total", F.lit(1)), 1).alias("pct"), "mean_mapping_rate", "mean_median_genes", "mean_n_cells")
+
+
+def normal_accession(value: Column, series_only: bool = False) -> Column:
+    """Accession in capitals without blanks; null if it isn't one."""
+    acc = F.upper(F.trim(value.cast("string")))
+    return F.when(acc.rlike(r"^GSE[0-9]{1,9}$" if series_only else r"^GS[EM][0-9]{1,9}(_[A-Z0-9]{1,16})?$"), acc)
+
+
+def restricted_member(path: Column) -> Column:
+    """Whether a file of a sample may hold data of persons: private files, donors' and mitochondrial ones but for their
+    public tables, allele counts, variants."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    name = F.element_at(F.split(p, "/"), -1)
+    donor, mt = p.startswith("donor/"), p.startswith("mt/")
+    other = (p == "ase_counts.tsv") | name.startswith("snp_") | F.lower(name).rlike(r"\.(vcf|bcf)(\.gz)?$")
+    return F.when(p.startswith("private/"), True).when(donor, p != "donor/donor_assignments.tsv").when(mt, p != "mt/mt_summary.tsv").otherwise(other)
+
+
+def restricted_path(path: Column) -> Column:
+    """The same for a path in an archive, where samples have folders; other files beside them are public."""
+    inner = F.regexp_extract(path, r"^samples/GSM\d+/(.*)$", 1)
+    return F.when(path.rlike(r"^samples/GSM\d+/"), restricted_member(inner)).when(path.startswith("samples/"), False).otherwise(restricted_member(path))
+
+
+def restricted_summary(files: DataFrame) -> DataFrame:
+    """Files and restricted ones, and their bytes, of (path, size)."""
+    r = restricted_path(F.col("path"))
+    return files.groupBy(r.alias("restricted")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))

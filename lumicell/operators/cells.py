@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,21 +12,25 @@ from ..functions.stats import ratio, variance, zero_aware_median
 from ..model import CellData
 
 
-def _bounded(df: DataFrame, key: str, per: str, least, most, least_counts, most_counts) -> DataFrame:
-    stats = df.groupBy(key).agg(F.count("value").alias("_n"), F.sum("value").alias("_s"))
+def _kept(keys: DataFrame, counts: DataFrame, key: str, least, most, least_counts, most_counts) -> DataFrame:
+    """Keys whose stored values and their sum are within bounds; keys without values count as 0."""
+    stats = keys.select(key).join(counts.groupBy(key).agg(F.count("value").alias("_n"), F.sum("value").alias("_s")), key, "left").fillna(0, ["_n", "_s"])
     for c, op, x in (("_n", ">=", least), ("_n", "<=", most), ("_s", ">=", least_counts), ("_s", "<=", most_counts)):
         if x is not None:
             stats = stats.where(f"{c} {op} {x}")
-    return df.join(stats.select(key), key, "left_semi")
+    return stats.select(key)
 
 
 def filter_cells(d: CellData, *, min_genes=None, max_genes=None, min_counts=None, max_counts=None) -> CellData:
-    """Keep cells by stored genes and total counts."""
-    return d.with_counts(_bounded(d.counts, "cell", "gene", min_genes, max_genes, min_counts, max_counts))
+    """Keep cells, in obs and counts, by stored genes and total counts."""
+    kept = _kept(d.obs, d.counts, "cell", min_genes, max_genes, min_counts, max_counts)
+    return replace(d, counts=d.counts.join(kept, "cell", "left_semi"), obs=d.obs.join(kept, "cell", "left_semi"))
 
 
 def filter_genes(d: CellData, *, min_cells=None, max_cells=None, min_counts=None, max_counts=None) -> CellData:
-    return d.with_counts(_bounded(d.counts, "gene", "cell", min_cells, max_cells, min_counts, max_counts))
+    """Keep genes, in var and counts, by cells that have them and total counts."""
+    kept = _kept(d.var, d.counts, "gene", min_cells, max_cells, min_counts, max_counts)
+    return replace(d, counts=d.counts.join(kept, "gene", "left_semi"), var=d.var.join(kept, "gene", "left_semi"))
 
 
 def qc_cells(d: CellData, marked: Column | None = None, top: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -201,15 +207,24 @@ def sample_order(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
-def subsample(d: CellData, n: int, seed: int = 0) -> DataFrame:
-    """n cells of obs without replacement."""
+def subsample(d: CellData, n: int | None = None, seed: int = 0, fraction: float | None = None) -> DataFrame:
+    """n cells of obs, or a fraction of them (one at least), without replacement."""
+    if (n is None) == (fraction is None):
+        raise ValueError("give either n or fraction")
+    n = max(1, int(d.obs.count() * fraction)) if n is None else n
     return d.obs.orderBy(sample_order(seed, "cell"), "cell").limit(n)
 
 
-def subsample_balanced(d: CellData, groupby: str, n_per_group: int, seed: int = 0) -> DataFrame:
-    """At most n cells of each group: ranks are kept under a limit, so partitions stay small."""
+def subsample_balanced(d: CellData, groupby: str, n_per_group: int | None = None, seed: int = 0, fraction: float | None = None) -> DataFrame:
+    """At most n cells of each group, or a fraction of it (one at least): ranks are kept under a limit, so partitions stay small."""
+    if (n_per_group is None) == (fraction is None):
+        raise ValueError("give either n_per_group or fraction")
     w = Window.partitionBy(groupby).orderBy(sample_order(seed, "cell"), "cell")
-    return d.obs.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n_per_group).drop("_k")
+    ranked = d.obs.withColumn("_k", F.row_number().over(w))
+    if n_per_group is not None:
+        return ranked.where(F.col("_k") <= n_per_group).drop("_k")
+    most = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy(groupby)) * fraction))
+    return ranked.withColumn("_m", most).where(F.col("_k") <= F.col("_m")).drop("_k", "_m")
 
 
 def concatenate(parts: list[CellData], join: str = "inner") -> DataFrame:

@@ -42,18 +42,19 @@ def rank_sums(d: CellData, groupby: str) -> DataFrame:
     group without the gene adds their mean rank.
     """
     x = d.labelled(groupby).where("value > 0")
-    nnz = x.groupBy("gene").agg(F.count(F.lit(1)).alias("nnz"))
-    # ranks from counts of equal values: what is sorted is values of a gene, not its cells
-    levels = x.groupBy("gene", "value", groupby).agg(F.count(F.lit(1)).alias("c"))
-    value = levels.groupBy("gene", "value").agg(F.sum("c").alias("ties"))
-    below = Window.partitionBy("gene").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    value = value.withColumn("below", F.coalesce(F.sum("ties").over(below), F.lit(0)))
-    sums = levels.join(value, ["gene", "value"]).groupBy("gene", groupby).agg(F.sum(F.col("c") * (F.col("below") + (F.col("ties") + 1) / 2)).alias("r"), F.sum("c").alias("k"), F.sum(F.col("c") * F.col("value")).alias("s1"))
-    total = d.n_cells().withColumnRenamed("n_cells", "n")
-    groups = d.group_sizes(groupby).withColumnRenamed("n_cells", "n_in")
-    every = nnz.join(F.broadcast(groups)).join(F.broadcast(total))
-    whole = x.groupBy("gene").agg(F.sum("value").alias("all_s1"))
-    y = every.join(sums, ["gene", groupby], "left").fillna(0.0, ["r", "s1"]).fillna(0, ["k"]).join(whole, "gene")
+    # ranks from counts of equal values: what is dealt by gene and sorted is its values, not its cells, and all that follows stays there
+    levels = x.groupBy("gene", "value", groupby).agg(F.count(F.lit(1)).alias("c")).repartition("gene")
+    upto = Window.partitionBy("gene").orderBy("value")  # with equal values
+    ties = F.sum("c").over(Window.partitionBy("gene", "value"))
+    levels = levels.withColumn("ties", ties).withColumn("below", F.sum("c").over(upto) - F.col("ties"))
+    sums = levels.groupBy("gene", groupby).agg(F.sum(F.col("c") * (F.col("below") + (F.col("ties") + 1) / 2)).alias("r"), F.sum("c").alias("k"), F.sum(F.col("c") * F.col("value")).alias("s1"))
+    held = F.map_from_entries(F.collect_list(F.struct(groupby, F.struct("r", "k", "s1"))))  # groups are few
+    genes = sums.groupBy("gene").agg(held.alias("_own"), F.sum("k").alias("nnz"), F.sum("s1").alias("all_s1"))
+    groups = d.group_sizes(groupby).where(F.col(groupby).isNotNull())
+    listed = groups.agg(F.collect_list(F.struct(groupby, F.col("n_cells").alias("n_in"))).alias("_groups")).join(F.broadcast(d.n_cells().withColumnRenamed("n_cells", "n")))  # one row
+    y = genes.join(F.broadcast(listed)).select("gene", "nnz", "all_s1", "n", "_own", F.inline("_groups"))
+    own = F.element_at("_own", F.col(groupby))
+    y = y.withColumns({"r": F.coalesce(own["r"], F.lit(0.0)), "k": F.coalesce(own["k"], F.lit(0)), "s1": F.coalesce(own["s1"], F.lit(0.0))})
     z = F.col("n") - F.col("nnz")
     rank_sum = F.col("r") + F.col("k") * z + (F.col("n_in") - F.col("k")) * (z + 1) / 2
     n_out = F.col("n") - F.col("n_in")
