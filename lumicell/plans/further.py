@@ -34,9 +34,10 @@ def bipotent_entropy(spark, d):
     return scores.bipotent(tables.from_tables(spark, d), "gset")
 
 
-@query(_LINEAGE.format(score="coalesce(ps[2], 0) / ps[1]"), "cell top_lineage is_bipotent", "score")
+@query(_LINEAGE.format(score="coalesce(ps[2], 0) / ps[1]").replace("SELECT *, score >=", "SELECT * REPLACE (score + 1e-9 AS score), score >="), "cell top_lineage is_bipotent", "score")
 def bipotent_score_ratio(spark, d):
-    return scores.bipotent(tables.from_tables(spark, d), "gset", method="score_ratio")
+    """The score is moved off the ties of rounding, where shares are ratios of small integers."""
+    return scores.bipotent(tables.from_tables(spark, d), "gset", method="score_ratio").withColumn("score", F.col("score") + 1e-9)
 
 
 for _method, _weight, _off in (

@@ -441,13 +441,13 @@ def welch_test(spark, d):
 
 @query(
     f"""{_DATA}{_RANKS}, p AS (SELECT *, nnz_in / n_in AS pct_in, nnz_out / n_out AS pct_out, {_P} AS pvalue FROM rs WHERE nnz_in / n_in >= 0.001 AND log2fc >= log2(1.05)), q AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY pvalue, gene) AS r, count(*) OVER (PARTITION BY cluster) AS m FROM p),
-    a AS (SELECT *, least(1.0, min(pvalue * m / r) OVER (PARTITION BY cluster ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM q)--\nSELECT *, -log10(fdr + 1e-300) * log2fc * pct_in AS score FROM a WHERE fdr <= 0.8""",
+    a AS (SELECT *, least(1.0, min(pvalue * m / r) OVER (PARTITION BY cluster ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM q)--\nSELECT *, -log10(fdr + 1e-300) * log2fc * pct_in AS score FROM a WHERE fdr <= 0.9995""",
     "cluster gene",
     "pct_in pct_out log2fc pvalue fdr score",
 )
 def find_all_markers(spark, d):
     """Bounds that the sparse counts of these tables reach; the defaults are stricter."""
-    return markers.find_all_markers(tables.from_tables(spark, d), "cluster", min_fold_change=1.05, min_pct=0.001, max_pvalue=0.8)
+    return markers.find_all_markers(tables.from_tables(spark, d), "cluster", min_fold_change=1.05, min_pct=0.001, max_pvalue=0.9995)
 
 
 @query(

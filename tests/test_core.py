@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from lumicell.functions import stats
 from lumicell.model import CellData
 from lumicell.operators import cells, markers, reads, vectors
-from lumicell.plans import further  # noqa: F401  registers its queries
-from lumicell.plans.queries import QUERIES, SQL
+from lumicell.plans.all_queries import QUERIES, SQL
 from lumicell.sources import tables
 from lumicell.streaming import events
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumicell.functions import stats
 from lumicell.model import CellData
-from lumicell.operators import catalog, cells, graphs, markers, receptors, scores, tags, vectors
+from lumicell.operators import alignments, catalog, cells, graphs, markers, receptors, scores, tags, vectors
 
 
 def planted(spark, groups=4, size=12, seed=1):
@@ -134,3 +134,22 @@ def test_pairs_within_a_radius_over_grid_cells(spark):
     got = {(r.cell, r.neighbour) for r in graphs.within_radius(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "cell bigint, x double, y double"), 0.3).collect()}
     assert got == {(i, j) for i in range(60) for j in range(60) if i != j and np.linalg.norm(xy[i] - xy[j]) <= 0.3}
     assert vectors is not None
+
+
+def test_equal_values_share_their_rank(spark):
+    c = spark.createDataFrame([(1, 1, 5.0), (1, 2, 5.0), (1, 3, 2.0), (2, 1, 1.0)], "cell bigint, gene bigint, value double")
+    got = {(r.cell, r.gene): r.s for r in alignments.rank_signal(c, 3).collect()}
+    assert np.allclose([got[1, 1], got[1, 2], got[1, 3], got[2, 1]], [1 - 0.5 / 3, 1 - 0.5 / 3, 1 / 3, 1])
+    assert len(alignments.rank_signal(c, 2).collect()) == 3
+    z = alignments.null_zscores(spark.createDataFrame([(0.5, 0.4, 0.0), (0.5, 0.0, 0.0)], "auc double, null_mean double, null_sd double")).collect()
+    assert [round(r.z, 6) for r in z] == [2.5, 250.0]
+
+
+def test_depth_curves_and_duplicates(spark):
+    m = spark.createDataFrame([(1, "a", 10, 10), (2, "a", 5, 20), (2, "b", 5, 0)], "cell bigint, feature string, molecules bigint, reads bigint")
+    got = {r.cell: r for r in alignments.read_stats(m).collect()}
+    assert (got[1].dup_reads, got[1].est_complexity) == (0, 10) and (got[2].dup_reads, got[2].est_complexity) == (10, 20)
+    curve = {r.fraction: r for r in alignments.saturation_curve(m.where("cell = 1")).collect()}
+    assert abs(curve[1.0].mean_umis - 10 * (1 - math.exp(-1))) < 1e-9 and curve[0.5].sampled_reads == 5
+    with pytest.raises(ValueError):
+        alignments.bin_counts(m, m, 0)
