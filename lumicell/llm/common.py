@@ -56,6 +56,8 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{own}/{uuid.uuid4().hex}"
 
 
+#: Bytes of a row group of saved tables: a writer holds one for each task.
+ROW_GROUP = 16 << 20
 #: Rows of an Arrow batch between Spark and Python while a table is saved: long texts and sets come in small batches.
 BATCH_ROWS = 1024
 
@@ -89,7 +91,7 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark)
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumicell_path = path
     return out
@@ -126,7 +128,7 @@ def crc_mod(col, m: int):
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(m))
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: a worker process outlives its tasks, and others need the room."""
     pa.default_memory_pool().release_unused()
     try:
@@ -138,7 +140,7 @@ def _give_back() -> None:
 def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds bounded rows and bytes of a column."""
     yield from _sliced(batches, column, rows, size)
-    _give_back()
+    give_back()
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], column: str, rows: int, size: int) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 from . import tokens
+from .common import give_back
 
 #: Slots of a worker's table (a power of two), bytes of the longest piece in it, and ids held before it is emptied.
 SLOT_BITS, KEPT_BYTES, POOL_IDS = 21, 48, 8 << 20
@@ -195,3 +196,10 @@ class PieceEncoder:
 def encoder(path: str, keep_space: bool) -> PieceEncoder:
     """One per worker process, tokenizer and mode."""
     return PieceEncoder(path, keep_space)
+
+
+def forget() -> None:
+    """Free this worker's tables: other work follows, and processes outlive their tasks."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        give_back()

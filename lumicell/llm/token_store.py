@@ -39,8 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, saved, slices
-from .encode import encoder
+from .common import ROW_GROUP, discard, saved, slices, small_batches
+from .encode import encoder, forget
 
 #: Ids of a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 16
@@ -132,6 +132,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, keep_space: bo
     encoded = saved(encoded.select("*", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(1, np.int64)
         for b in batches:
             c = np.bincount(_cells(b.column("ids"), dtype))
@@ -149,6 +150,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, keep_space: bo
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(by_rank)], "rank bigint, id bigint").coalesce(1).write.parquet(f"{path}/ranks")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         file, block, start = TaskContext.get().partitionId(), 0, 0
         keys: list = []
         lengths: list[int] = []
@@ -180,7 +182,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, keep_space: bo
     files = min(MAX_FILES, max(1, -(-encoded.count() // FILE_ROWS)))
     order = [F.col("doc_id").asc_nulls_first(), "n", "h", "row"]
     dealt = encoded.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
-    dealt.mapInArrow(blocks, "file int, block int, start bigint, docs int, ids bigint, data binary").write.parquet(f"{path}/blocks")
+    with small_batches(spark):
+        dealt.mapInArrow(blocks, "file int, block int, start bigint, docs int, ids bigint, data binary").write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
     discard(encoded)
     # one row a file: at most MAX_FILES
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
