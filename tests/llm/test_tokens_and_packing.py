@@ -118,7 +118,9 @@ def test_instructions_keep_all_three_limits(spark):
     replies = turns.where("role = 'assistant'").selectExpr("conv_id * 1000 + turn as example_id", "conv_id as c", "turn as t", "text as response")
     asked = turns.selectExpr("conv_id as c", "turn + 1 as t", "text as prompt")
     examples = replies.join(asked, ["c", "t"], "left").select("example_id", "prompt", "response", F.lit("x").alias("loss_tokens"))
-    examples = examples.unionByName(spark.createDataFrame([(None, None, None, "x"), (7, "p", None, "x"), (7, "p", None, "x"), (8, "w " * 5000, "r " * 3000, "x")], examples.schema)).coalesce(1)
+    examples = examples.unionByName(spark.createDataFrame([(None, None, None, "x"), (7, "p", None, "x"), (7, "p", None, "x"), (8, "w " * 5000, "r " * 3000, "x"), *[(500 + k, "short", "one", "x") for k in range(40)]], examples.schema))
+    # short examples meet the limit on segments, replies that on loss, long prompts that on tokens; in one order, whatever the join gives
+    examples = spark.createDataFrame(sorted(examples.collect(), key=repr), examples.schema).coalesce(1)
     limits = {"max_tokens": 1024, "max_segments": 4, "max_loss": 256}
     out = packing.pack_instructions(examples, path, **limits).collect()
     sequences, pieces = {}, {}
