@@ -55,15 +55,16 @@ def rank_sums(d: CellData, groupby: str) -> DataFrame:
     y = genes.join(F.broadcast(listed)).select("gene", "nnz", "all_s1", "n", "_own", F.inline("_groups"))
     own = F.element_at("_own", F.col(groupby))
     y = y.withColumns({"r": F.coalesce(own["r"], F.lit(0.0)), "k": F.coalesce(own["k"], F.lit(0)), "s1": F.coalesce(own["s1"], F.lit(0.0))})
-    z = F.col("n") - F.col("nnz")
+    z = (F.col("n") - F.col("nnz")).cast("double")  # products of numbers of cells don't fit a bigint: n_in * n_out * n goes beyond it at some millions
     rank_sum = F.col("r") + F.col("k") * z + (F.col("n_in") - F.col("k")) * (z + 1) / 2
     n_out = F.col("n") - F.col("n_in")
-    u = rank_sum - F.col("n_in") * (F.col("n_in") + 1) / 2
-    sd = F.sqrt(F.col("n_in") * n_out * (F.col("n") + 1) / 12)
+    size_in = F.col("n_in").cast("double")
+    u = rank_sum - size_in * (size_in + 1) / 2
+    sd = F.sqrt(size_in * n_out * (F.col("n") + 1) / 12)
     mean_in, mean_out = ratio(F.col("s1"), F.col("n_in")), ratio(F.col("all_s1") - F.col("s1"), n_out)
     return y.select(
         groupby, "gene", "n_in", n_out.alias("n_out"), F.col("k").alias("nnz_in"), (F.col("nnz") - F.col("k")).alias("nnz_out"), u.alias("u"),
-        ratio(u - F.col("n_in") * n_out / 2, sd).alias("z"), mean_in.alias("mean_in"), mean_out.alias("mean_out"), F.log2((mean_in + 1e-9) / (mean_out + 1e-9)).alias("log2fc"),
+        ratio(u - size_in * n_out / 2, sd).alias("z"), mean_in.alias("mean_in"), mean_out.alias("mean_out"), F.log2((mean_in + 1e-9) / (mean_out + 1e-9)).alias("log2fc"),
     )
 
 
