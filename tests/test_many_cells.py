@@ -32,3 +32,12 @@ def test_rank_sums(many):
     rows = markers.rank_sums(many, "cluster").collect()
     assert len(rows) == 12
     assert all(math.isclose(r.z, z_of(r.gene, r.cluster), rel_tol=1e-12) and r.n_in == r.n_out == N // 2 for r in rows)
+
+
+def test_rank_genes_groups(many):
+    rows = {(r.cluster, r["rank"]): r for r in markers.rank_genes_groups(many, "cluster").collect()}
+    assert len(rows) == 12
+    for group, order in (("a", [6, 4, 2, 1, 3, 5]), ("b", [5, 3, 1, 2, 4, 6])):
+        assert [rows[group, k].gene for k in range(1, 7)] == order
+        assert all(rows[group, k].zr == round(z_of(g, group), 6) for k, g in enumerate(order, 1))
+        assert all(abs(rows[group, k].pval - math.erfc(abs(z_of(g, group)) / math.sqrt(2))) < 1e-6 for k, g in enumerate(order, 1))
