@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumicell.model import CellData
-from lumicell.operators import markers
+from lumicell.operators import markers, scores
 
 N = 4_000_000  # N / 2 * N / 2 * (N + 1) is 1.6e19
 
@@ -41,3 +41,9 @@ def test_rank_genes_groups(many):
         assert [rows[group, k].gene for k in range(1, 7)] == order
         assert all(rows[group, k].zr == round(z_of(g, group), 6) for k, g in enumerate(order, 1))
         assert all(abs(rows[group, k].pval - math.erfc(abs(z_of(g, group)) / math.sqrt(2))) < 1e-6 for k, g in enumerate(order, 1))
+
+
+def test_filtered_rankings(many):
+    rows = scores.filter_ranked(markers.rank_genes_groups(many, "cluster"), 1.0, 1.0).where("log2fc > 0").orderBy("cluster", "rank").collect()
+    assert [(r.cluster, r["rank"], r.gene) for r in rows] == [("a", 1, 6), ("a", 2, 4), ("a", 3, 2), ("b", 1, 5), ("b", 2, 3), ("b", 3, 1)]
+    assert all(r.zr == round(z_of(r.gene, r.cluster), 6) > 0 for r in rows)
