@@ -47,3 +47,9 @@ def test_filtered_rankings(many):
     rows = scores.filter_ranked(markers.rank_genes_groups(many, "cluster"), 1.0, 1.0).where("log2fc > 0").orderBy("cluster", "rank").collect()
     assert [(r.cluster, r["rank"], r.gene) for r in rows] == [("a", 1, 6), ("a", 2, 4), ("a", 3, 2), ("b", 1, 5), ("b", 2, 3), ("b", 3, 1)]
     assert all(r.zr == round(z_of(r.gene, r.cluster), 6) > 0 for r in rows)
+
+
+def test_set_enrichment(many):
+    rows = {(r.cluster, r.gset): r for r in markers.set_enrichment(many, "cluster", "gset", n_top=3).collect()}
+    assert {k: r.overlap for k, r in rows.items()} == {("a", "x"): 3, ("a", "y"): 0, ("b", "x"): 0, ("b", "y"): 3}
+    assert abs(rows["a", "x"].pvalue - 4 / 35) < 1e-6 and abs(rows["b", "y"].pvalue - 1 / 35) < 1e-6  # of 7 genes 4 are x and 3 y
