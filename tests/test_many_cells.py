@@ -53,3 +53,8 @@ def test_set_enrichment(many):
     rows = {(r.cluster, r.gset): r for r in markers.set_enrichment(many, "cluster", "gset", n_top=3).collect()}
     assert {k: r.overlap for k, r in rows.items()} == {("a", "x"): 3, ("a", "y"): 0, ("b", "x"): 0, ("b", "y"): 3}
     assert abs(rows["a", "x"].pvalue - 4 / 35) < 1e-6 and abs(rows["b", "y"].pvalue - 1 / 35) < 1e-6  # of 7 genes 4 are x and 3 y
+
+
+def test_marker_overlap(many):
+    rows = markers.marker_overlap(markers.rank_genes_groups(many, "cluster", 2), many.var, "cluster", "gset").collect()
+    assert sorted((r.cluster, r.gset, r.shared, r.jaccard) for r in rows) == [("a", "x", 2, 0.5), ("b", "y", 2, 2 / 3)]
