@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.digests import Prefixes
 from ..functions.stats import ratio, variance, zero_aware_median
 from ..model import CellData
 
@@ -254,15 +257,70 @@ def obs_values(d: CellData, keys: list[str], gene) -> DataFrame:
     return d.obs.select("cell", *keys).join(d.counts.where(F.col("gene") == gene).select("cell", "value"), "cell", "left").fillna(0.0, ["value"])
 
 
+#: Molecules that a task of downsample hashes at once.
+MOLECULES = 1 << 14
+
+
+def _first(cell: np.ndarray, row: np.ndarray, high: np.ndarray, low: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """The first n molecules of each cell in the order of their digests."""
+    order = np.lexsort((high, cell))
+    if np.any((np.diff(cell[order]) == 0) & (np.diff(high[order]) == 0)):
+        order = np.lexsort((low, high, cell))
+    c = cell[order]
+    starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+    order = order[np.arange(len(c)) - np.repeat(starts, np.diff(np.r_[starts, len(c)])) < n]
+    return cell[order], row[order], high[order], low[order]
+
+
+def _drawn(per_cell: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow on (cell, gene, prefix, value) with the rows of a cell one after another: (cell, gene, value) of its first molecules; `most` are hashed at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kept = None, None  # rows of the last cell, and its molecules so far
+
+        def result(rows: pa.Table, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+            at, n = np.unique(row, return_counts=True)
+            if len(at):
+                out = rows.take(pa.array(at)).append_column("value", pa.array(n.astype(float)))
+                yield from out.group_by(["cell", "gene"]).aggregate([("value", "sum")]).rename_columns(["cell", "gene", "value"]).to_batches()
+
+        for b in batches:
+            rows = pa.Table.from_batches([b.select(["cell", "gene"])])
+            first = held.num_rows if held else 0
+            rows = pa.concat_tables([held, rows]) if held else rows
+            code = rows["cell"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            prefixes, counts = Prefixes(b.column("prefix")), np.maximum(b.column("value").to_numpy(zero_copy_only=False).astype(np.int64), 0)
+            ends = np.cumsum(counts)
+            parts = [(code[kept[0]], *kept)] if held else []
+            for lo in range(0, int(ends[-1]) if len(ends) else 0, most):
+                place = np.arange(lo, min(lo + most, int(ends[-1])))
+                row = np.searchsorted(ends, place, "right")
+                parts.append(_first(code[first + row], first + row, *prefixes.md5(row, place - ends[row] + counts[row] + 1), per_cell))
+            if not parts:
+                continue
+            cell, row, high, low = _first(*map(np.concatenate, zip(*parts)), per_cell)
+            last = cell == code[-1]
+            yield from result(rows, row[~last])
+            at, row = np.unique(row[last], return_inverse=True)
+            held, kept = rows.take(pa.array(at)), (row, high[last], low[last])
+        if held:
+            yield from result(held, kept[0])
+
+    return run
+
+
 def downsample(d: CellData, per_cell: int, seed: int = 0) -> CellData:
     """Draw `per_cell` counts of each cell without replacement; smaller cells stay whole.
 
-    Counts are exploded to molecules, whose order is a hash; linear in counts.
+    The order of a cell's molecules is a hash (that of seed:cell:gene:number).
+    Stored rows are dealt by cell; their molecules are made and hashed some
+    thousand at a time, and only the first of each cell are held, so neither
+    memory nor disk grows with counts.  Linear in counts.
     """
-    molecules = d.counts.select("cell", "gene", F.explode(F.sequence(F.lit(1), F.col("value").cast("int"))).alias("m"))
-    w = Window.partitionBy("cell").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "cell", "gene", "m")))
-    kept = molecules.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_cell)
-    return d.with_counts(kept.groupBy("cell", "gene").agg(F.count(F.lit(1)).cast("double").alias("value")))
+    x = d.counts.select("cell", "gene", F.col("value").cast("int").alias("value")).where("value > 0").repartition("cell").sortWithinPartitions("cell")
+    prefix = F.concat(F.concat_ws(":", F.lit(str(seed)), "cell", "gene"), F.lit(":"))
+    kinds = dict(d.counts.dtypes)
+    return d.with_counts(x.select("cell", "gene", prefix.alias("prefix"), "value").mapInArrow(_drawn(per_cell, MOLECULES), f"cell {kinds['cell']}, gene {kinds['gene']}, value double"))
 
 
 def splicing_ratio(spliced: DataFrame, unspliced: DataFrame, min_counts: float = 10) -> DataFrame:
