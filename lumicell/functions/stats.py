@@ -17,6 +17,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def nearest(x: Column, digits: int) -> Column:
+    """x >= 0 rounded by binary arithmetic, as DuckDB does; F.round goes by the decimal digits and differs where they end in 5."""
+    return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
 def normal_tail(z: Column) -> Column:
     """Two-sided tail of the normal distribution, by the rational approximation with
     the five published coefficients (absolute error below 1e-7)."""

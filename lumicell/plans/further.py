@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.stats import nearest
 from ..operators import graphs, markers, receptors, scores, tags, vectors
 from ..operators import catalog as cat
 from ..sources import tables
@@ -221,7 +222,7 @@ def spatial_neighbors(spark, d):
 @query(f"{_PLACES}--\nSELECT * FROM pd WHERE distance <= 0.02", "cell neighbour", "distance")
 def spatial_radius(spark, d):
     v = tables.vectors(spark, d).select("cell", F.col("vec")[0].cast("double").alias("x"), F.col("vec")[1].cast("double").alias("y"))
-    return graphs.within_radius(v, 0.02)
+    return graphs.within_radius(v, 0.02).withColumn("distance", nearest(F.col("distance"), 6))  # what rounding is left then changes nothing
 
 
 _VALUES = ", vl AS (SELECT cell, unnest(vec) AS value, generate_subscripts(vec, 1) AS gene FROM v)"
