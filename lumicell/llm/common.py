@@ -82,16 +82,42 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_BATCH_KEY, str(before))
 
 
-def saved(df: DataFrame) -> DataFrame:
+_BYTES_KEY, _VECTOR_KEY = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+
+
+def bound_bytes(spark: SparkSession, size: int) -> None:
+    """Bound the bytes of Arrow batches (beyond their last row) in this session from now on."""
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    spark.conf.set(_BYTES_KEY, str(min(now, size) if now > 0 else size))
+
+
+@contextmanager
+def small_reads(spark: SparkSession, size: int, rows: int) -> Iterator[None]:
+    """Bound the bytes of Arrow batches, and the rows of a Parquet reader's column vectors, for what runs inside."""
+    before = {k: spark.conf.get(k, None) for k in (_BYTES_KEY, _VECTOR_KEY)}
+    bound_bytes(spark, size)
+    spark.conf.set(_VECTOR_KEY, str(min(int(spark.conf.get(_VECTOR_KEY)), rows)))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def saved(df: DataFrame, **options: int) -> DataFrame:
     """Write to the shared folder as Parquet and read back: cuts the lineage,
     survives lost executors and is columnar, unlike checkpoint().
 
     The table goes when discard() is called or the application ends.
+    `options` are the writer's, beyond its row groups' size or in place of it.
     """
     spark = df.sparkSession
     path = scratch_path(spark)
     with small_batches(spark):
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        df.write.options(**{"parquet.block.size": ROW_GROUP} | options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumicell_path = path
     return out

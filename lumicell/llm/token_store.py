@@ -25,6 +25,10 @@ where the vocabulary allows) are written, counted, and dealt once by range of
 rows share that key, a doc_id that very many rows share is split like any
 other.  Driver and broadcast see the vocabulary's counts and one total a file
 (at most MAX_FILES).
+
+Memory.  Between Spark and Python go batches of BATCH_BYTES and one row more,
+vectors of a Parquet reader hold VECTOR_ROWS rows, and row groups and pages that
+are written here are small: batches don't grow with a table's splits.
 """
 
 from __future__ import annotations
@@ -39,13 +43,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_GROUP, discard, saved, slices, small_batches
+from .common import bound_bytes, discard, give_back, saved, slices, small_batches, small_reads
 from .encode import encoder, forget
 
 #: Ids of a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 16
 #: Rows of a file aimed at, and the most files.
-FILE_ROWS, MAX_FILES = 4096, 200_000
+FILE_ROWS, MAX_FILES = 6144, 200_000
+#: Bytes of an Arrow batch, and of texts that are encoded in one pass; rows of a Parquet reader's vectors.
+BATCH_BYTES, VECTOR_ROWS = 1 << 20, 256
+#: Bytes of a row group of the saved ids and of the blocks, and of a page (larger pages are huge objects to an
+#: executor of 2 GB); both are looked at after so few rows, else a page would hold 100 blocks.
+WRITTEN = {"parquet.block.size": 4 << 20, "parquet.page.size": 256 << 10, "parquet.page.size.row.check.min": 2}
 
 _MAGIC = b"TIDS"
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
@@ -115,12 +124,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, keep_space: bo
     very long one is a block of its own.  Of an empty table the store has no
     blocks.  Other columns are ignored, whatever their names.
     """
+    with small_reads(docs.sparkSession, BATCH_BYTES, VECTOR_ROWS):
+        _write(docs, path, tokenizer, keep_space, end_id)
+
+
+def _write(docs: DataFrame, path: str, tokenizer: str, keep_space: bool, end_id: int) -> None:
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     dtype = encoder(tokenizer, keep_space).dtype
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, keep_space)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", size=BATCH_BYTES):
             ids, off = enc.encode(b.column("text"))
             ids = np.insert(ids, off[1:], end_id)
             n = np.diff(off) + 1
@@ -129,7 +143,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, keep_space: bo
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), cells], ["doc_id", "n", "ids"])
 
     encoded = docs.mapInArrow(encode, "doc_id bigint, n bigint, ids binary")
-    encoded = saved(encoded.select("*", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row")))
+    encoded = saved(encoded.select("*", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row")), **WRITTEN)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -147,7 +161,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, keep_space: bo
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
     spark = docs.sparkSession
-    spark.createDataFrame([(k, int(i)) for k, i in enumerate(by_rank)], "rank bigint, id bigint").coalesce(1).write.parquet(f"{path}/ranks")
+    # as an Arrow table: from Python rows, executors would start further workers to convert them
+    ranks = pa.table({"rank": pa.array(np.arange(len(by_rank))), "id": pa.array(by_rank, pa.int64())})
+    spark.createDataFrame(ranks, "rank bigint, id bigint").coalesce(1).write.parquet(f"{path}/ranks")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -178,12 +194,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, keep_space: bo
                 held += size
         if keys:
             yield emit()
+        give_back()
 
     files = min(MAX_FILES, max(1, -(-encoded.count() // FILE_ROWS)))
     order = [F.col("doc_id").asc_nulls_first(), "n", "h", "row"]
     dealt = encoded.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
     with small_batches(spark):
-        dealt.mapInArrow(blocks, "file int, block int, start bigint, docs int, ids bigint, data binary").write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
+        dealt.mapInArrow(blocks, "file int, block int, start bigint, docs int, ids bigint, data binary").write.options(**WRITTEN).parquet(f"{path}/blocks")
     discard(encoded)
     # one row a file: at most MAX_FILES
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
@@ -196,10 +213,17 @@ _BLOCK_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.b
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and the ids) of each document, decoded from the store alone."""
+    """doc_id, start, n_tokens, ids_crc32 (and the ids) of each document, decoded from the store alone.
+
+    Rows are decoded when the frame is used, so from now on Arrow batches of
+    this session have BATCH_BYTES and one row more at most: a split of blocks
+    is not one batch.
+    """
+    bound_bytes(spark, BATCH_BYTES)
     ids_of = spark.read.parquet(f"{path}/ranks").orderBy("rank").toPandas()["id"].to_numpy().astype("<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for file, start, data in zip(*(b.column(c) for c in ("file", "start", "data"))):
                 keys, lengths, ranks = read_block(data.as_buffer())
@@ -211,6 +235,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, end], pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, _DOC_NAMES[: len(cols)])
+        give_back()
 
     blocks = spark.read.parquet(f"{path}/blocks").select("file", "start", "data")
     decoded = blocks.mapInArrow(run, "file int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)

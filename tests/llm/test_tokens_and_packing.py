@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,6 +77,30 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     assert token_store.read_token_files(spark, empty).count() == 0
 
 
+def test_a_split_of_blocks_is_not_one_batch(spark, tmp_path):
+    """Python gets a bounded number of bytes of blocks at once, and what is written comes in small row groups."""
+    session, store, bound = spark.newSession(), str(tmp_path / "store"), 1 << 20
+    bytes_key, vectors_key = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = [session.conf.get(k, None) for k in (bytes_key, vectors_key)]
+    text = " ".join(words(50_000, 3))
+    docs = documents(session, [(k, text, None) for k in range(40)])
+    token_store.write_token_files(docs, store, public_tokenizers.path("word_bpe_49k.json"), False, 2)
+    assert [session.conf.get(k, None) for k in (bytes_key, vectors_key)] == before  # writing leaves the session as it was
+    assert token_store.read_token_files(session, store).count() == 40
+
+    def sizes(batches):
+        for b in batches:
+            cells = [len(x.as_py()) for x in b.column("data")]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(cells)]), pa.array([max(cells)])], ["n", "most"])
+
+    blocks = session.read.parquet(f"{store}/blocks").coalesce(1).select("data")
+    batches = blocks.mapInArrow(sizes, "n bigint, most bigint").collect()
+    assert sum(b.n for b in batches) > 3 * bound
+    assert all(b.n <= bound + b.most for b in batches)
+    groups = [m.row_group(g).total_byte_size for f in (tmp_path / "store/blocks").glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in range(m.num_row_groups)]
+    assert max(groups) < 8 << 20
+
+
 def test_impossible_limits_are_refused(spark):
     for limits in ((10, 10, 0), (0, 1, 1), (10, 0, 10)):
         with pytest.raises(ValueError):
